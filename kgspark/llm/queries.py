@@ -1,8 +1,11 @@
 """The queries of this subpackage."""
 
+from kgspark.llm.secret_scan import op2_secret_scan
 from kgspark.llm.source_mix import op8_source_mix
 from kgspark.llm.token_counts import op10_token_counts
+from kgspark.llm.toxicity import op7_toxicity
+from kgspark.llm.url_filter import op9_url_filter
 
-QUERIES = {f.__name__: f for f in (op8_source_mix, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_toxicity, op8_source_mix, op9_url_filter, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
