@@ -60,17 +60,25 @@ def sentence_logits(model: tuple[np.ndarray, float], whole: np.ndarray, head: np
 
 def fit(texts: pa.Array, toxic: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Adam over small batches of documents, in an order that depends on nothing but their number."""
-    w = words(texts, ALNUM, True)
-    whole, head = features(w, bits)
-    doc, size = w.doc, 1 << bits
+    size = 1 << bits
     seen = np.zeros(size, np.int32)
-    for f in (whole, head):
-        pairs = np.unique(doc.astype(np.int64) * size + f)
-        seen += np.bincount(pairs & (size - 1), minlength=size).astype(np.int32)
+    parts, n_words, n_docs = [], 0, 0
+    # Piece by piece: what stays of a piece is two numbers of 4 bytes for a word.
+    for piece in pieces([pa.record_batch([texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts], ["text"])], "text", 1 << 20):
+        w = words(piece.column(0), ALNUM, True)
+        whole, head = features(w, bits)
+        for f in (whole, head):
+            pairs = np.unique(w.doc.astype(np.int64) * size + f)
+            seen += np.bincount(pairs & (size - 1), minlength=size).astype(np.int32)
+        first, of = sentences(w)
+        parts.append((whole, head, first + n_words, of + n_docs))
+        n_words, n_docs = n_words + len(w), n_docs + piece.num_rows
+    if not parts:
+        return np.zeros(size), PRIOR
+    whole, head, first, of = (np.concatenate(x) for x in zip(*parts, strict=True))
     used = (seen >= MIN_DOCS).astype(np.float64)
-    first, of = sentences(w)
     begin = np.searchsorted(of, np.arange(len(toxic) + 1))  # sentences of each document
-    bounds = np.append(first, len(w))
+    bounds = np.append(first, n_words)
     weights, bias = np.zeros(size), PRIOR
     m, v, mb, vb, t = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
     draw = np.random.default_rng(7)
