@@ -64,19 +64,39 @@ def findings(blobs: DataFrame, rules=RULES) -> DataFrame:
 
 def scan(documents: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """id_col, blob, found (array of start, rank, kind, end) of each row. ledger: a path that is kept between scans; none: a new one."""
-    spark, version = documents.sparkSession, rule_version(rules)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = documents.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
+    rows = _blobs(documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text")
+    return _joined(rows, ledger, rules).select(F.col("id").alias(id_col), "blob", "found")
+
+
+def redact(documents: DataFrame, ledger: str | None = None, text_col: str = "text", length_col: str | None = "n_chars", rules=RULES) -> DataFrame:
+    """documents with marks in place of their secrets, and with length_col, if there is one, as the new text's length where a text has changed."""
+    carried = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("kept"), F.col(text_col).cast("string").alias("text"))
+    new = F.when(F.size("found") > 0, redacted("text", "found")).otherwise(F.col("kept")[text_col])
+    out = _joined(_blobs(carried, "text"), ledger, rules).select(F.col("kept").withField(text_col, new).alias("kept"), "found")
+    if length_col in documents.columns:
+        long = F.length(F.col("kept")[text_col]).cast(documents.schema[length_col].dataType)
+        out = out.withColumn("kept", F.col("kept").withField(length_col, F.when(F.size("found") > 0, long).otherwise(F.col("kept")[length_col])))
+    return out.select("kept.*")
+
+
+def _blobs(rows: DataFrame, text: str) -> DataFrame:
+    return rows.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+def _joined(rows: DataFrame, ledger: str | None, rules) -> DataFrame:
+    """rows: text, blob and others. Scans what the ledger lacks and adds found to all rows."""
+    spark, version = rows.sparkSession, rule_version(rules)
     path = ledger or scratch(spark, "ledger")
     known = ledger_rows(spark, path)
-    fresh = rows.select("blob", "text")
+    fresh = rows.select("blob", F.coalesce("text", F.lit("")).alias("text"))
     if known is not None:
         fresh = fresh.join(known.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
     fresh = fresh.groupBy("blob").agg(F.any_value("text").alias("text"))
     findings(fresh, rules).withColumn("rules", F.lit(version)).write.mode("append").parquet(path)
-    found = ledger_rows(spark, path).where((F.col("rules") == version) & (F.size("found") > 0)).select(F.col("blob").alias("found_blob"), "found")
-    none = F.array().cast(found.schema["found"].dataType)
-    return rows.select("id", "blob").join(found, F.col("blob") == F.col("found_blob"), "left").select(F.col("id").alias(id_col), "blob", F.coalesce("found", none).alias("found"))
+    found = ledger_rows(spark, path).where((F.col("rules") == version) & (F.size("found") > 0)).select(F.col("blob").alias("found_blob"), F.col("found").alias("was_found"))
+    found = found.dropDuplicates(["found_blob"]) if known is not None else found
+    none = F.array().cast(found.schema["was_found"].dataType)
+    return rows.join(found, F.col("blob") == F.col("found_blob"), "left").withColumn("found", F.coalesce("was_found", none)).drop("found_blob", "was_found")
 
 
 def ledger_rows(spark, path: str) -> DataFrame | None:
@@ -87,14 +107,13 @@ def ledger_rows(spark, path: str) -> DataFrame | None:
     return spark.read.schema("blob string, found array<struct<start:int,rank:int,kind:string,end:int>>, rules string").parquet(path)
 
 
-def redacted(text, found, mark: str = "[REDACTED]"):
-    """A text without its spans; overlapping spans are one. Code points."""
-    F_text, F_found = (x if isinstance(x, str) else x._jc.toString() for x in (text, found))
+def redacted(text: str, found: str, mark: str = "[REDACTED]"):
+    """Of columns by name: a text without its spans; spans that overlap are one. Code points."""
     step = (
         "named_struct('at', greatest(acc.at, x.end), 'out', if(x.start >= acc.at, "
-        f"concat(acc.out, substring({F_text}, acc.at + 1, x.start - acc.at), '{mark}'), acc.out))"
+        f"concat(acc.out, substring({text}, acc.at + 1, x.start - acc.at), '{mark}'), acc.out))"
     )
-    return F.expr(f"if(size({F_found}) = 0, {F_text}, aggregate({F_found}, named_struct('at', 0, 'out', ''), (acc, x) -> {step}, acc -> concat(acc.out, substring({F_text}, acc.at + 1))))")
+    return F.expr(f"if(size({found}) = 0, {text}, aggregate({found}, named_struct('at', 0, 'out', ''), (acc, x) -> {step}, acc -> concat(acc.out, substring({text}, acc.at + 1))))")
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -156,7 +156,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def toxicity(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id_col, the columns `keep`, score, predicted, offending (array of start, end) of each row."""
+    """id_col, score, predicted, offending (array of start, end) of each row. With keep, a struct `kept` of those columns stands for id_col."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +164,12 @@ def toxicity(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str
             scores, found = score(shared.value, b.column("scored_text"))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             offending = pa.array([[{"start": s, "end": e} for s, e in x] for x in found], kind)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), offending], [*b.schema.names[:-1], "score", "predicted", "offending"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), offending], [b.schema.names[0], "score", "predicted", "offending"])
 
-    names = list(dict.fromkeys([id_col, *(keep or [])]))
-    rows = documents.select(*(F.col(c) for c in names), F.col(text_col).cast("string").alias("scored_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int, offending array<struct<start:int,end:int>>")
+    first = F.col(id_col).alias("id") if keep is None else F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")
+    rows = documents.select(first, F.col(text_col).cast("string").alias("scored_text"))
+    out = rows.mapInArrow(run, f"{rows.columns[0]} {rows.schema[0].dataType.simpleString()}, score double, predicted int, offending array<struct<start:int,end:int>>")
+    return out.withColumnRenamed("id", id_col) if keep is None else out
 
 
 def held_out(id_col: str = "doc_id") -> Column:
