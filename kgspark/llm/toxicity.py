@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is logistic in its words and in the beginnings of longer
-words, both hashed to 2**BITS weights; a document's score is the noisy-or of its sentences, 1 - prod(1 - p).
+A document is a bag of sentences. A sentence's score is logistic in its words and in the beginnings of its words
+(HEADS bytes, as inflected words differ at the end), all hashed to 2**BITS weights; a document's score is the noisy-or of its sentences, 1 - prod(1 - p).
 Only document labels are known: the likelihood of the noisy-or is ascended, which credits those sentences
 that explain the label. Sentences of a score of 0.5 or more are the offending ones.
 
@@ -26,18 +26,18 @@ from pyspark.sql import functions as F
 from kgspark.llm._spark import table
 from kgspark.llm._words import ALNUM, U, Words, _bytes, mix, pieces, prefix, spans, words
 
-BITS, SAMPLE, MIN_DOCS, HEAD = 18, 8192, 5, 6
-EPOCHS, BATCH, RATE, RIDGE, LASSO, PRIOR = 40, 128, 0.05, 2e-5, 0.25, -8.0
+BITS, SAMPLE, MIN_DOCS, HEADS = 18, 16_384, 5, (4, 5)
+EPOCHS, STEPS, BATCH, RATE, RIDGE, LASSO, PRIOR = 15, 800, 128, 0.05, 2e-5, 2e-4, -8.0
 ENDS = np.zeros(256, bool)
 ENDS[[10, 33, 46, 63]] = True  # a line's end and !.?
 
 
-def features(w: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """For each word, the weight index of the word and of its first HEAD bytes (of the word again, salted, if it is no longer)."""
+def features(w: Words, bits: int = BITS) -> list[np.ndarray]:
+    """For each word, the weight indexes of the word and of its beginnings (of a shorter word, salted)."""
     sums = prefix(w.buf.astype(U) + U(1), _bytes)
-    whole = mix(spans(sums, w.starts, w.ends, _bytes))
-    head = mix(spans(sums, w.starts, np.minimum(w.starts + HEAD, w.ends), _bytes) ^ U(0xA5A5A5A5A5A5A5A5))
-    return tuple((h >> U(64 - bits)).astype(np.int32) for h in (whole, head))
+    hashes = [mix(spans(sums, w.starts, w.ends, _bytes))]
+    hashes += [mix(spans(sums, w.starts, np.minimum(w.starts + n, w.ends), _bytes) + U(n * 0xA5A5A5A5A5A5A5A5 % (1 << 64))) for n in HEADS]
+    return [(h >> U(64 - bits)).astype(np.int32) for h in hashes]
 
 
 def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -53,9 +53,9 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def sentence_logits(model: tuple[np.ndarray, float], whole: np.ndarray, head: np.ndarray, first: np.ndarray) -> np.ndarray:
+def sentence_logits(model: tuple[np.ndarray, float], indexes: list[np.ndarray], first: np.ndarray) -> np.ndarray:
     weights, bias = model
-    return bias + (np.add.reduceat(weights[whole] + weights[head], first) if len(first) else np.empty(0))
+    return bias + (np.add.reduceat(sum(weights[i] for i in indexes), first) if len(first) else np.empty(0))
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, float]:
@@ -63,26 +63,26 @@ def fit(texts: pa.Array, toxic: np.ndarray, bits: int = BITS) -> tuple[np.ndarra
     size = 1 << bits
     seen = np.zeros(size, np.int32)
     parts, n_words, n_docs = [], 0, 0
-    # Piece by piece: what stays of a piece is two numbers of 4 bytes for a word.
+    # Piece by piece: what stays of a piece is a few numbers of 4 bytes for a word.
     for piece in pieces([pa.record_batch([texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts], ["text"])], "text", 1 << 20):
         w = words(piece.column(0), ALNUM, True)
-        whole, head = features(w, bits)
-        for f in (whole, head):
+        indexes = features(w, bits)
+        for f in indexes:
             pairs = np.unique(w.doc.astype(np.int64) * size + f)
             seen += np.bincount(pairs & (size - 1), minlength=size).astype(np.int32)
         first, of = sentences(w)
-        parts.append((whole, head, first + n_words, of + n_docs))
+        parts.append((*indexes, first + n_words, of + n_docs))
         n_words, n_docs = n_words + len(w), n_docs + piece.num_rows
     if not parts:
         return np.zeros(size), PRIOR
-    whole, head, first, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    *indexes, first, of = (np.concatenate(x) for x in zip(*parts, strict=True))
     used = (seen >= MIN_DOCS).astype(np.float64)
     begin = np.searchsorted(of, np.arange(len(toxic) + 1))  # sentences of each document
     bounds = np.append(first, n_words)
     weights, bias = np.zeros(size), PRIOR
     m, v, mb, vb, t = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
     draw = np.random.default_rng(7)
-    for _ in range(EPOCHS if len(toxic) else 0):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(toxic)))):
         order = draw.permutation(len(toxic))
         for at in range(0, len(order), BATCH):
             ids = np.sort(order[at : at + BATCH])
@@ -92,20 +92,20 @@ def fit(texts: pa.Array, toxic: np.ndarray, bits: int = BITS) -> tuple[np.ndarra
             n = np.diff(bounds)[s]
             cut = np.concatenate([[0], np.cumsum(n)[:-1]])
             tokens = np.repeat(first[s] - cut, n) + np.arange(n.sum())
-            a, b = whole[tokens], head[tokens]
-            z = sentence_logits((weights, bias), a, b, cut)
+            own = [i[tokens] for i in indexes]
+            z = sentence_logits((weights, bias), own, cut)
             place = np.searchsorted(ids, of[s])
             total = np.bincount(place, softplus(z), len(ids))
-            slope = np.where(toxic[ids] > 0, -1 / np.expm1(np.maximum(total, 1e-6)), 1.0) / len(ids)
+            slope = np.where(toxic[ids] > 0, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0) / len(ids)
             g = slope[place] / (1 + np.exp(-np.maximum(z, -60)))
             per = np.repeat(g, n)
-            grad = (np.bincount(a, per, size) + np.bincount(b, per, size)) * used + RIDGE * weights
+            grad = sum(np.bincount(i, per, size) for i in own) * used + RIDGE * weights
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
             c1, c2 = 1 - 0.9**t, 1 - 0.999**t
             weights = weights - RATE * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-            weights = np.sign(weights) * np.maximum(np.abs(weights) - RATE * LASSO, 0)  # chance words of few documents go back to 0
+            weights = np.sign(weights) * np.maximum(np.abs(weights) - RATE * LASSO / (np.sqrt(v / c2) + 1e-8), 0)  # chance words of few documents go back to 0
             bias -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     return weights, float(bias)
 
@@ -115,7 +115,7 @@ def score(model: tuple[np.ndarray, float], texts: pa.Array) -> tuple[np.ndarray,
     w = words(texts, ALNUM, True)
     n = len(w.first) - 1
     first, of = sentences(w)
-    z = sentence_logits(model, *features(w), first)
+    z = sentence_logits(model, features(w), first)
     scores = -np.expm1(-np.bincount(of, softplus(z), n)) if len(of) else np.zeros(n)
     found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     bad = np.flatnonzero(z >= 0)
