@@ -124,3 +124,25 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
+
+
+def _sql_spans(rank: int, kind: str, pattern: str, valued: bool) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    ok = f"length(regexp_extract(h, {p}, 2)) >= 6" if valued else "TRUE"
+    return (
+        f"SELECT doc_id, s AS start, {rank} AS rank, '{kind}' AS kind, s + length(h) AS stop FROM (SELECT doc_id, hits[i] AS h, "
+        "CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s "
+        f"FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS hits FROM d))) WHERE {ok}"
+    )
+
+
+#: Either case of the key's letters, without the folding of letters beyond ASCII.
+_SQL_RULES = [(k, "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)") + p.split("key)", 1)[1][1:] if k == "assign" else p, v) for k, p, v in RULES]
+
+OP2_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ("
+    + " UNION ALL ".join(_sql_spans(i, *rule) for i, rule in enumerate(_SQL_RULES))
+    + """), g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+)
