@@ -33,6 +33,7 @@ class Val:
     lang: Column | str | None = None
     shape: str | None = None
     clean: bool = False  # nothing in it to escape: the text of a number, a date or a truth value
+    native: Column | None = None  # the whole number, never NULL, that lex is the text of; joins compare it instead
 
 
 def column(x: Column | str | None) -> Column:
@@ -44,6 +45,12 @@ def let(c: Column, body) -> Column:
     return F.transform(F.array(c), body)[0]
 
 
+def xsd_of(value) -> str:
+    """The datatype of a Python value: of a truth value, a whole number or a number with a point; all else is a string."""
+    kinds = {bool: "boolean", int: "integer", float: "double"}
+    return XSD + kinds.get(type(value), "string")
+
+
 def null_val(kind: str = "raw") -> Val:
     return Val(F.lit(None).cast("string"), kind)
 
@@ -283,7 +290,7 @@ def natural(c: Column, kind: str) -> Val:
     base = kind.split("(")[0]
     text = c.cast("string")
     if base in ("tinyint", "smallint", "int", "bigint"):
-        return Val(text, "literal", XSD + "integer", clean=True)
+        return Val(text, "literal", XSD + "integer", clean=True, native=c.cast("bigint"))
     if base in ("float", "double"):
         return Val(double_text(c.cast("double")), "literal", XSD + "double", clean=True)
     if base in ("decimal", "boolean", "date"):

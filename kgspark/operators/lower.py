@@ -42,6 +42,9 @@ class Relation:
                 if isinstance(c, Column):
                     columns.append(c.alias(f"{name}|{part}"))
                     parts[part] = plain(f"{name}|{part}")
+            if v.native is not None:
+                columns.append(v.native.alias(f"{name}|native"))
+                parts["native"] = plain(f"{name}|native")
             values[name] = Val(plain(name), v.kind, **parts, shape=v.shape, clean=v.clean)
         return Relation(self.df.select(*columns), values)
 
@@ -98,14 +101,19 @@ def _join(op: EquiJoin, spark: SparkSession, strict: bool) -> Relation:
     shared = set(left.values) & set(right.values)
     dropped = [c for c in right.df.columns if c.split("|")[0] in shared]
     # Keys by names of their own, so that equal names on both sides can't meet.
-    l_df = left.df.withColumns({f"l|{i}": T.to_lexical(left.values[a]) for i, a in enumerate(op.left_attributes)})
-    r_df = right.df.withColumns({f"r|{i}": T.to_lexical(right.values[a]) for i, a in enumerate(op.right_attributes)}).drop(*dropped)
+    pairs = [(left.values[a], right.values[b]) for a, b in op.conditions()]
+    # Whole numbers on both sides are compared as such, all else by its text, in which epsilon meets epsilon.
+    whole = [a.native is not None and b.native is not None for a, b in pairs]
+    key = lambda v, i: v.native if whole[i] else T.to_lexical(v)
+    l_df = left.df.withColumns({f"l|{i}": key(a, i) for i, (a, _) in enumerate(pairs)})
+    r_df = right.df.withColumns({f"r|{i}": key(b, i) for i, (_, b) in enumerate(pairs)}).drop(*dropped)
     if not op.left_attributes:
         df = l_df.crossJoin(r_df)
     else:
         on = None
         for i in range(len(op.left_attributes)):
-            one = F.col(f"`l|{i}`").eqNullSafe(F.col(f"`r|{i}`"))
+            a, b = F.col(f"`l|{i}`"), F.col(f"`r|{i}`")
+            one = a == b if whole[i] else a.eqNullSafe(b)
             on = one if on is None else on & one
         df = l_df.join(r_df, on, "inner")
     df = df.drop(*(f"{s}|{i}" for s in "lr" for i in range(len(op.left_attributes))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -76,10 +77,11 @@ class Operator:
     def join(self, other: Operator, left: list[str], right: list[str]) -> EquiJoin:
         return EquiJoin(self, other, tuple(left), tuple(right))
 
-    def execute(self, spark, **options):
+    def execute(self, spark, strict: bool | None = None):
+        """strict: a reference without any value is an error; by default if KGSPARK_STRICT_REFERENCES is 1."""
         from kgspark.operators.lower import lower
 
-        return lower(self, spark, **options)
+        return lower(self, spark, os.environ.get("KGSPARK_STRICT_REFERENCES") == "1" if strict is None else strict)
 
     def children(self) -> list[tuple[str, Operator]]:
         return []

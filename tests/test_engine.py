@@ -61,6 +61,18 @@ def test_escapes_round_trip(spark, values):
     assert [turtle.unescape(x[1:-1]) for x in lines] == values
 
 
+def test_python_types():
+    assert [T.xsd_of(v).removeprefix(XSD) for v in (True, 1, 1.5, "x", None)] == ["boolean", "integer", "double", "string", "string"]
+
+
+def test_strict_by_environment(spark, tmp_path, monkeypatch):
+    src = Source(S.JsonFile(write(tmp_path / "a.json", '[{"a": 1}]')), "$[*]", (("b", "b"),))
+    assert src.execute(spark).df.count() == 0
+    monkeypatch.setenv("KGSPARK_STRICT_REFERENCES", "1")
+    with pytest.raises(MissingReference):
+        src.execute(spark)
+
+
 def test_iris(spark):
     values = ["http://a/b c", "http://a/b", "urn:x", "a b", "http:", "http://a/é", 'http://a/"q"', None, "x/y", "/root", "?q", "#f", "../up", "//h/p"]
     assert texts(spark, values, lambda v: T.to_iri(v, None, False).lex) == [None, "http://a/b", "urn:x", None, None, "http://a/é", None, *[None] * 7]
