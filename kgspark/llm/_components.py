@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, list[str]]:
     # Written, so that a node of many neighbours is met in a join whose partitions Spark can split.
     path = scratch(spark, "least")
     both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("low")).write.parquet(path)
-    met = both.join(spark.read.parquet(path), F.col("u") == F.col("node"))
+    met = both.join(spark.read.parquet(path).hint("merge"), F.col("u") == F.col("node"))
     if large:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b"))
     else:

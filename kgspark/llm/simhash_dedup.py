@@ -13,7 +13,8 @@ keys with more are never paired: each is put at the 65 fingerprints within one b
 one such centre are tied to the smallest there. Two fingerprints meet at a centre exactly if they differ in at
 most 2 bits, so all links' connections are kept, and the work is linear in the size of a group.
 
-Components come by alternating stars. Copies are joined by fingerprint, as one node, before all this.
+Tables that grow with the documents are joined by sort and merge (hinted), never broadcast: their compressed
+files would pass for smaller than they are. Components come by alternating stars. Copies are joined by fingerprint, as one node, before all this.
 
 Null text and text without words: fingerprint 0, linked like any other. Rows of equal id each get a row. A
 component of null ids only has a null id.
@@ -186,10 +187,10 @@ def links(prints: DataFrame) -> DataFrame:
     counted = kept(counted, "keys")
     pairs = counted.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
     crowded = counted.where("n > 2").select(F.col("key").alias("many"))
-    crowd = keys.join(crowded, F.col("key") == F.col("many")).select("print").distinct()
+    crowd = keys.join(crowded.hint("merge"), F.col("key") == F.col("many")).select("print").distinct()
     at = _map_prints(kept(crowd, "crowd"), _centres, "centre")
     least = kept(at.groupBy("centre").agg(F.min("print").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("centre").alias("met"), "b"), "centres")
-    tied = at.join(least, F.col("centre") == F.col("met")).where("print > b").select(F.col("print").alias("a"), "b")
+    tied = at.join(least.hint("merge"), F.col("centre") == F.col("met")).where("print > b").select(F.col("print").alias("a"), "b")
     return pairs.union(tied).distinct()
 
 
@@ -210,10 +211,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rows = kept(simhash(documents, id_col, text_col), "prints")
     nodes = kept(rows.groupBy("print").agg(F.min(id_col).alias("first")), "nodes")
     found = kept(components(links(nodes)), "roots")
-    rooted = nodes.join(found, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root"), "first")
+    rooted = nodes.join(found.hint("merge"), F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root"), "first")
     heads = kept(rooted.groupBy("root").agg(F.min("first").alias("component")), "heads")
-    labels = kept(rooted.join(heads, "root").select(F.col("print").alias("own"), "component"), "labels")
-    return rows.join(labels, F.col("print") == F.col("own")).select(id_col, "print", "component")
+    labels = kept(rooted.join(heads.hint("merge"), "root").select(F.col("print").alias("own"), "component"), "labels")
+    return rows.join(labels.hint("merge"), F.col("print") == F.col("own")).select(id_col, "print", "component")
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
