@@ -48,7 +48,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = -(-n // (1 << 19)) * (1 << 19)
             self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(self.n - 1, b, U)])) for b in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
 
@@ -96,7 +96,7 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of strings and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
