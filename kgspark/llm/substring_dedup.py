@@ -22,8 +22,8 @@ the earliest of each stays, wherever it lies. Hashes are of 128 bits in both ste
 only on a row whose words have the hash in question at that place, so that rows of equal id but other text are
 told apart.
 
-Null text: no words. Null ids: after all others, in one document per text. Equal rows start equally early, and
-thus do not remove each other; their results are equal.
+Null text: no words. Null ids: after all others, in the order of a hash of their texts. Rows of equal id (and null
+ids of equal text) start equally early, and thus do not remove each other; equal rows have equal results.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +44,12 @@ WIDTH, GRAM, FANOUT, BATCHES, HELD = 20, 6, 4, 2, 1 << 20
 FIRST, AGAIN, MIXED = 0, 1, 2
 KEY = ["anchor", "block", "batch", "id", "place"]
 SCHEMA = "anchor long, block long, batch int, id long, place long"
-LAST = (1 << 63) - 1  # stands for a null id
+LAST = (1 << 63) - 1  # null ids stand before it, by 31 bits of their text's hash
 
 
 def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return documents.select(F.coalesce(own, F.lit(LAST) - F.shiftrightunsigned(F.xxhash64(text), 33)).alias("id"), own.isNull().alias("no_id"), text.alias("text"))
 
 
 def blocks_of(rows: DataFrame, batch: int, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -142,7 +144,7 @@ class FingerprintIndex:
         """rows: id, text. Merges a batch with the runs; gives its judged rows, with the older firsts that share an anchor."""
         self.batch += 1
         path, history = f"{self.path}/run-{self.batch:06d}", self.history()
-        new = blocks_of(rows, self.batch, self.width, self.gram)
+        new = blocks_of(rows.select("id", "text"), self.batch, self.width, self.gram)
         self._sorted(new if history is None else history.union(new), path + "-merged" if history is not None else path)
         merged = self._read(path + "-merged" if history is not None else path)
         if history is not None:
@@ -182,7 +184,7 @@ def removals(index: FingerprintIndex, rows: DataFrame, older: DataFrame | None =
                 [long_array(one), long_array(two), b.column("batch").take(pa.array(of)), b.column("id").take(pa.array(of)), pa.array(((at - w.first[of]) << 8).astype(np.int64))], KEY
             )
 
-    texts = rows if older is None else older.union(rows)
+    texts = (rows if older is None else older.union(rows)).select("id", "text")
     met = texts.join(mixed, F.col("id") == F.col("asked_id")).select("id", "batch", "text", "asked")
     windows = kept(met.mapInArrow(run, SCHEMA).distinct(), "windows")
     first = windows.groupBy("anchor", "block").agg(F.min(F.struct("batch", "id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -227,13 +229,13 @@ def dedup(documents: DataFrame, index: FingerprintIndex, older: DataFrame | None
             at = np.concatenate([[0], np.cumsum(n_kept)]).tolist()
             texts = [b" ".join(kept_words[at[i] : at[i + 1]]) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(size.astype(np.int64)), pa.array((size - n_kept).astype(np.int64)), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
-                ["id", "n_words", "n_removed", "kept", "kept_sha256"],
+                [b.column("id"), b.column("no_id"), pa.array(size.astype(np.int64)), pa.array((size - n_kept).astype(np.int64)), pa.array(texts, pa.binary()).cast(options=pc.CastOptions(pa.string(), allow_invalid_utf8=True)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
+                ["id", "no_id", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
-    met = rows.join(gone, F.col("id") == F.col("asked_id"), "left").select("id", "text", "asked")
-    out = met.mapInArrow(run, "id long, n_words long, n_removed long, kept string, kept_sha256 string")
-    return out.withColumn("id", F.when(F.col("id") < LAST, F.col("id"))).withColumnRenamed("id", id_col)
+    met = rows.join(gone, F.col("id") == F.col("asked_id"), "left").select("id", "no_id", "text", "asked")
+    out = met.mapInArrow(run, "id long, no_id boolean, n_words long, n_removed long, kept string, kept_sha256 string")
+    return out.withColumn("id", F.when(~F.col("no_id"), F.col("id"))).drop("no_id").withColumnRenamed("id", id_col)
 
 
 def dedup_all(documents: DataFrame, batches: int = BATCHES, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
