@@ -3,7 +3,7 @@
 1.  Targets. Sources in order of code points (null last) weigh `weights` in turn and share `share` times all
     words; none may exceed `most` times its own words, and what is over goes to the others by weight. The
     fixed point is min(cap, weight * level); `level` comes from sorted ratios cap / weight.
-2.  Blocks. A document's place in its source's permutation is a hash of its id. The first CELL_BITS bits of
+2.  Blocks. A document's place in its source's permutation is a hash of its id and text. The first CELL_BITS bits of
     that place are its cell; a block is a cell in one pass over the source. A target of q whole passes and a
     rest takes all cells q times, and once more the cells in order until the rest is filled: down to one
     document, of which the missing words are taken. A source's words hence equal its rounded target.
@@ -17,7 +17,7 @@ Only tables of sources x cells are windowed, never all documents of a source. So
 is broadcast if it has no more than MOST_SOURCES rows; else joined by shuffle).
 
 Null text: size 0. Null source: a source of its own, the last. Sizes of 0 take nothing. Null and repeated ids
-are permitted: equal rows share a place and are told apart by size only. Equal input gives equal output.
+are permitted: texts tell them apart, and equal rows share a place. Equal input gives equal output.
 """
 
 from __future__ import annotations
@@ -90,11 +90,11 @@ def splitting_tree(quotas: DataFrame, bits: int = SHARD_BITS, seed: int = SEED)
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, shard_bits: int = SHARD_BITS, seed: int = SEED) -> DataFrame:
     """id_col, source, size, source_size, target, taken, shards (array: the shard of each pass that takes the row) of each row."""
     # One expression for each bit field of the permutation: cell, finer cell, the rest.
-    place = F.xxhash64(F.lit(seed), F.col("id"))
+    place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     bits = lambda skip: F.shiftrightunsigned("place", 64 - skip - CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1).cast("int")
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = kept(documents.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "mix-sizes")
-    rows = rows.withColumn("place", place).withColumn("cell", bits(0)).withColumn("fine", bits(CELL_BITS))
+    rows = kept(documents.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), place.alias("place")), "mix-sizes")
+    rows = rows.withColumn("cell", bits(0)).withColumn("fine", bits(CELL_BITS))
     cells = kept(rows.groupBy("source", "cell").agg(F.sum("size").alias("words")), "mix-cells")
     goal = F.floor(F.col("target") + 0.5).cast("long")
     sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
