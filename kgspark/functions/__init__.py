@@ -1 +1 @@
-
+"""Terms as columns, and functions by URI."""

@@ -1 +1 @@
-
+"""The operators of the algebra, lowered to DataFrames."""

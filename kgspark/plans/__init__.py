@@ -1 +1 @@
-
+"""The algebra, mapping documents and the catalogue of queries."""
