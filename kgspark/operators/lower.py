@@ -1,8 +1,9 @@
 """From the algebra to DataFrames.
 
 A Relation is a DataFrame with a column of lexical forms for each attribute, and each attribute's kind. Branches
-of a union that extend the same single-valued source are one scan: the rows of all branches are an array that is
-exploded, instead of a scan for each branch.
+of a union that extend the same source are one scan. Of a table, the rows of all branches are an array that is
+exploded. Of documents (JSON, XML), where a reference has many values, the branches' combinations of values are
+exploded with the branch's number, and terms are made by number after that.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def _union(op: Union, spark: SparkSession, strict: bool) -> Relation:
     groups: dict = {}
     for i, part in enumerate(op.parts):
         chain = _chain(part)
-        shared = chain is not None and chain[0].reader.single_valued
+        shared = chain is not None and (chain[0].reader.single_valued or hasattr(chain[0].reader, "arrays") and not strict)
         groups.setdefault((chain[0].reader, chain[0].iterator) if shared else i, []).append((part, chain))
     frames = []
     for members in groups.values():
@@ -159,7 +160,74 @@ def _union(op: Union, spark: SparkSession, strict: bool) -> Relation:
     return Relation(df, values, parts)
 
 
-def _fused(chains: list[tuple[Source, list[Operator]]], names: list[str], spark: SparkSession, strict: bool, carry: list[str] | None = None, text: bool = False) -> DataFrame:
+def _fused(chains: list, names: list[str], spark: SparkSession, strict: bool, carry: list[str] | None = None, text: bool = False) -> DataFrame:
+    if chains[0][0].reader.single_valued:
+        return _fused_rows(chains, names, spark, strict, carry, text)
+    return _fused_documents(chains, names, spark, text)
+
+
+def _applied(steps: list[Operator], at: dict[str, Val], names: list[str], text: bool) -> dict[str, Column]:
+    """The named attributes after a branch's steps: as text of quads, or as structs."""
+    for step in steps:
+        at = at | {step.attribute: compile_expression(step.expression, at)} if isinstance(step, Extend) else {n: at[n] for n in step.names}
+    have = {n: at.get(n, T.null_val()) for n in names}
+    if not text:
+        return {n: T.as_struct(v).cast(T.TERM) for n, v in have.items()}
+    made = {n: T.term_text(v, n) for n, v in have.items()}
+    if have["graph"].shape == T.RR + "defaultGraph":
+        made["graph"] = F.lit(None).cast("string")
+    elif have["graph"].shape is None:
+        made["graph"] = T.let(made["graph"], lambda g: F.when(g != f"<{T.RR}defaultGraph>", g))
+    return made
+
+
+def _same(name: str, branch: int, mappings: dict[str, str], steps: list[Operator]):
+    """What an attribute of a branch is made of; the branch's number if it is more than an expression of queries."""
+    made = {s.attribute: s.expression for s in steps if isinstance(s, Extend)}
+    e = made.get(name)
+    if e is None or e.references() & set(made) or not e.references() <= set(mappings):
+        return branch
+    return e, tuple(sorted((a, mappings[a]) for a in e.references()))
+
+
+def _fused_documents(chains: list[tuple[Source, list[Operator]]], names: list[str], spark: SparkSession, text: bool) -> DataFrame:
+    """One scan for several branches of documents."""
+    source = chains[0][0]
+    mappings = {q: f"q{i}" for i, q in enumerate(dict.fromkeys(q for s, _ in chains for _, q in s.mappings))}
+    df = source.reader.arrays(spark, source.iterator, {a: q for q, a in mappings.items()})
+
+    def combined(branch: int, left: list[str], bound: dict[str, Column]) -> Column:
+        """An array of the branch's combinations of values; a struct if none is left to combine."""
+        if not left:
+            none = F.lit(None).cast("string")
+            return F.struct(F.lit(branch).alias("branch"), *(bound.get(a, none).alias(a) for a in mappings.values()))
+        inner = F.transform(F.col(left[0]), lambda x: combined(branch, left[1:], bound | {left[0]: x}))
+        return inner if len(left) == 1 else F.flatten(inner)
+
+    arrays = []
+    for i, (own, _) in enumerate(chains):
+        used = list(dict.fromkeys(mappings[q] for _, q in own.mappings))
+        arrays.append(combined(i, used, {}) if used else F.array(combined(i, [], {})))
+    df = df.select(F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("row"))
+    made = [_applied(steps, {a: Val(F.col("row")[mappings[q]]) for a, q in own.mappings}, names, text) for own, steps in chains]
+    out = []
+    for n in names:
+        # Branches with the same expression of the same queries share a case.
+        cases: dict = {}
+        for i, (own, steps) in enumerate(chains):
+            cases.setdefault(_same(n, i, dict(own.mappings), steps), (made[i][n], []))[1].append(i)
+        if len(cases) == 1:
+            out.append(made[0][n].alias(n))
+            continue
+        value = F.lit(None).cast("string" if text else T.TERM)
+        for c, branches in cases.values():
+            value = F.when(F.col("row.branch").isin(*branches), c).otherwise(value)
+        out.append(value.alias(n))
+    df = df.select(*out)
+    return df.where("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL") if text else df
+
+
+def _fused_rows(chains: list[tuple[Source, list[Operator]]], names: list[str], spark: SparkSession, strict: bool, carry: list[str] | None = None, text: bool = False) -> DataFrame:
     """One scan for several branches of a source. A branch has a row where all attributes of its own source have a value. text: of quads, as text."""
     source = chains[0][0]
     mappings = {q: f"q{i}" for i, q in enumerate(dict.fromkeys(q for s, _ in chains for _, q in s.mappings))}
@@ -170,17 +238,7 @@ def _fused(chains: list[tuple[Source, list[Operator]]], names: list[str], spark:
         there = F.lit(True)
         for a, _ in own.mappings:
             there = there & source.reader.present(at[a])
-        for step in steps:
-            at = at | {step.attribute: compile_expression(step.expression, at)} if isinstance(step, Extend) else {n: at[n] for n in step.names}
-        have = {n: at.get(n, T.null_val()) for n in names}
-        if text:
-            made = {n: T.term_text(v, n) for n, v in have.items()}
-            if have["graph"].shape == T.RR + "defaultGraph":
-                made["graph"] = F.lit(None).cast("string")
-            elif have["graph"].shape is None:
-                made["graph"] = T.let(made["graph"], lambda g: F.when(g != f"<{T.RR}defaultGraph>", g))
-        else:
-            made = {n: T.as_struct(v).cast(T.TERM) for n, v in have.items()}
+        made = _applied(steps, at, names, text)
         rows.append(F.when(there, F.struct(*(c.alias(n) for n, c in made.items()))))
     out = df.select(F.explode(F.array(*rows)).alias("row"), *(carry or [])).where("row IS NOT NULL")
     if text:

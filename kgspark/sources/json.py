@@ -97,6 +97,11 @@ class _Json(Reader):
         """A column `document`."""
         raise NotImplementedError
 
+    def arrays(self, spark, iterator: str, mappings: dict[str, str]) -> DataFrame:
+        """A row for each context, with an array of each attribute's values."""
+        df = self.documents(spark).select(F.explode(contexts(F.col("document"), iterator or "$")).alias("context"))
+        return df.select(*(extracted(F.col("context"), q).alias(a) for a, q in mappings.items()))
+
     def read(self, spark, iterator: str, mappings: dict[str, str], strict: bool = False) -> tuple[DataFrame, dict[str, Val]]:
         df = self.documents(spark).select(F.explode(contexts(F.col("document"), iterator or "$")).alias("context"))
         df = explode_all(df, {a: extracted(F.col("context"), q) for a, q in mappings.items()}, strict)

@@ -29,6 +29,11 @@ class XmlFile(Reader):
             tag = m[1] if m else "row"
         return spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).option("ignoreSurroundingSpaces", False).load(self.path)
 
+    def arrays(self, spark, iterator: str, mappings: dict[str, str]) -> DataFrame:
+        """A row for each element, with an array of each attribute's values."""
+        df = self.rows(spark, iterator or ".")
+        return df.select(*(_values(df.schema, q).alias(a) for a, q in mappings.items()))
+
     def read(self, spark, iterator: str, mappings: dict[str, str], strict: bool = False) -> tuple[DataFrame, dict[str, Val]]:
         df = self.rows(spark, iterator or ".")
         df = explode_all(df, {a: _values(df.schema, q) for a, q in mappings.items()}, strict)

@@ -328,6 +328,22 @@ def test_two_issue_sources(spark, tmp_path):
     assert len(got) == 3 + 3 + 2 + 3
 
 
+def test_documents_are_read_once(spark, tmp_path):
+    """Many branches over one document: one scan, with the rows that a scan for each would give."""
+    write(tmp_path / "a.json", '[{"id": 1, "n": "x", "tags": ["a", "b"], "more": [1, 2]}, {"id": 2, "tags": []}, {"n": "y"}, {"id": "4 4", "n": null, "more": [3]}]')
+    write(tmp_path / "a.xml", '<r><e id="1"><n>x</n><t>a</t><t>b</t></e><e id="2"><t>c</t></e></r>')
+    poms = 'rr:predicateObjectMap [ rr:predicate ex:n, ex:m ; rr:objectMap [ rml:reference "n" ] ] ; rr:predicateObjectMap [ rr:predicate ex:t ; rr:objectMap [ rr:template "http://t/{%s}/{%s}" ] ] ; rr:predicateObjectMap [ rr:predicate ex:i ; rr:objectMap [ rml:reference "%s" ; rr:datatype xsd:integer ] ; rr:graphMap [ rr:template "http://g/{%s}" ] ] ;'
+    text = 'ex:M rml:logicalSource [ rml:source "%s" ; rml:referenceFormulation ql:%s ; rml:iterator "%s" ] ; ' + poms + ' rr:subjectMap [ rr:template "http://e/{%s}" ; rr:class ex:E ] .'
+    for args in (("a.json", "JSONPath", "$[*]", "tags", "more", "id", "id", "id"), ("a.xml", "XPath", "/r/e", "t", "n", "@id", "t", "@id")):
+        plan = Mapping(PREFIX + text % args, str(tmp_path)).plan()
+        df = plan.execute(spark).text()
+        alone = [tuple(r) for part in plan.parts for r in part.execute(spark).text().collect()]
+        assert sorted((tuple(r) for r in df.collect()), key=str) == sorted(alone, key=str) and len(alone) > 8
+        assert df._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
+        terms = plan.execute(spark).terms()
+        assert terms.where("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL").count() == len(alone)
+
+
 def test_nested_functions_and_order(spark):
     t = table(spark, a=["x"], b=["y"])
     call = "fnml:functionValue [ rr:predicateObjectMap [ rr:predicate fno:executes ; rr:object fn:concat ] ; rr:predicateObjectMap [ rr:predicate ex:p10 ; rr:objectMap [ rr:constant \"!\" ] ] ; rr:predicateObjectMap [ rr:predicate ex:p2 ; rr:objectMap [ %s ] ] ; rr:predicateObjectMap [ rr:predicate ex:p1 ; rr:objectMap [ rml:reference \"a\" ] ] ]"
