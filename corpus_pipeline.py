@@ -38,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = docs.withColumn(KEY, _key())
     found = simhash_dedup.near_duplicates(keyed.select(KEY, "text"), KEY)
     first = kept(found.where(F.col(KEY) == F.col("component")).select(F.col(KEY).alias("first_key")).distinct(), "first")
-    return keyed.join(first, F.col(KEY) == F.col("first_key"), "left_semi").dropDuplicates([KEY]).drop(KEY)
+    return keyed.join(first.hint("merge"), F.col(KEY) == F.col("first_key"), "left_semi").dropDuplicates([KEY]).drop(KEY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keyed = docs.withColumn(KEY, _key())
     found = decontaminate.contamination(keyed.select(KEY, "text"), table(spark, sf_dir, "benchmark"), KEY)
     bad = kept(found.where(F.size("items") > 0).select(F.col(KEY).alias("bad_key")).distinct(), "contaminated")
-    return keyed.join(bad, F.col(KEY) == F.col("bad_key"), "left_anti").drop(KEY)
+    return keyed.join(bad.hint("merge"), F.col(KEY) == F.col("bad_key"), "left_anti").drop(KEY)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = source_mix.mix(keyed.select(KEY, "text", "source"), KEY)
     plan = plan.where("taken > 0").dropDuplicates([KEY]).select(F.col(KEY).alias("plan_key"), "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
     own = [c for c in docs.columns if c not in plan.columns]
-    return keyed.join(kept(plan, "plan"), F.col(KEY) == F.col("plan_key")).select(*own, *(c for c in plan.columns if c != "plan_key"))
+    return keyed.join(kept(plan, "plan").hint("merge"), F.col(KEY) == F.col("plan_key")).select(*own, *(c for c in plan.columns if c != "plan_key"))
 
 
 STAGES = [
