@@ -1,7 +1,8 @@
 """URL filters: rules by host and path, and logistic regression on hashed character n-grams for the rest.
 
 The regression is trained from a small table of labelled URLs (SEED_URLS, or one's own rows of url and block);
-features are the 3- to 5-grams of bytes of the marked host and path, hashed to 2**BITS weights.
+features are the 3- to 5-grams of bytes of the marked host and path, hashed to 2**BITS weights. The bias is fixed at
+PRIOR, so that what resembles nothing in the table is allowed.
 
 Null url, or one without '://': host and path are empty, no rule fits, and the verdict is that of the
 regression on empty text. Rows come back as they are.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm._words import U, _bytes, buffer, mix, pieces, prefix, spans
 
-BITS, SIZES, EPOCHS, RATE, RIDGE = 16, (3, 4, 5), 400, 2.0, 1e-3
+BITS, SIZES, EPOCHS, RATE, RIDGE, PRIOR = 16, (3, 4, 5), 1200, 4.0, 3e-5, -0.5
 
 #: Verdict, host, path. The longest that fits wins.
 RULES = (
@@ -29,31 +30,31 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: The labelled table: what is to be blocked, and what is not.
-SEED_URLS = tuple(
-    (url, block)
-    for block, urls in (
-        (
-            1,
-            """http://spam-farm.example.org/en/1 https://spam-farm.example.com/fr/22 https://www.spam-site.example.net/buy/now http://cheap-pills.example.com/order
-            https://casino-bonus.example.net/win/5 http://free-casino.example.com/spin https://xxx-videos.example.net/watch/9 http://adult-cams.example.com/live
-            https://click-here-prize.example.net/claim http://win-free-iphone.example.com/claim/now https://loan-fast-cash.example.net/apply http://best-seo-links.example.org/buy
-            https://login-verify-account.example.net/secure/update http://paypa1-secure.example.com/login https://torrent-crack.example.net/download/full http://warez-keygen.example.com/get
-            https://seo-farm.example.net/links/300 http://link-farm.example.com/en/77 https://spam.example.com/de/14 http://free-download-crack.example.org/setup.exe
-            https://hot-singles.example.net/join http://porn-tube.example.com/v/12 https://replica-watches.example.net/shop http://viagra-online.example.com/buy""",
-        ),
-        (
-            0,
-            """http://news.example.org/en/1 https://www.example.com/fr/22 https://blog.example.net/en/2024/05/post http://docs.example.com/guide/intro
-            https://m.example.net/en/25 http://wiki.example.org/page/Main https://library.example.net/books/9 http://university.example.com/course/12
-            https://example.org/es/300 http://science.example.com/en/article/4 https://museum.example.net/en/visit http://weather.example.com/de/today
-            https://blog.example.com/en/853/ http://recipes.example.net/soup.html https://help.example.org/faq http://forum.example.com/thread/88
-            https://archive.example.net/en/676 http://www.example.org/en/533 https://maps.example.com/fr/825 http://history.example.net/en/474.html
-            https://school.example.org/lesson/3 http://garden.example.com/tips https://music.example.net/album/7 http://travel.example.com/es/guide""",
-        ),
-    )
-    for url in urls.split()
-)
+#: The labelled table is made of these: sites that are to be blocked and sites that are not, under the same kinds of
+#: addresses, so that only names tell them apart.
+BLOCKED_SITES = """spam-farm spam-links casino-royal casino-bonus best-casino sport-bets bets-live free-spins ads-server click-ads track-ads
+adult-video adult-chat xxx-videos hot-singles pills-shop diet-pills viagra-online free-prize win-cash win-free-phone fast-cash-loan replica-watches
+crack-keygen torrent-warez verify-account-login paypa1-secure seo-links link-farm click-here-prize free-money cheap-meds""".split()
+OTHER_SITES = """news wiki library museum university science weather recipes forum archive history
+school garden music travel docs lorem ipsum dolor consectetur tempor labore magna
+aliqua enim minim veniam nostrud ullamco laboris open-data city-hall
+theory harbor meadow lantern orchard station hearing weaving reading painting theatre northern weather-then others within nation
+tension station-house thistle thesis shelter wheat father these those there inner outer onion erosion""".split()
+PATHS = """/en/12 /fr/907 /de/44 /es/381 /en/2210 /fr/65/ /de/733.html /es/18 / /index.html /about /2024/05/post /page/3 /tag/a /search /en/676
+/fr/1204.html /de/9 /es/5/ /en/871 /fr/32 /de/415.html /es/276 /en/40110 /fr/8 /de/1207 /es/640 /guide/intro /course/12 /album/7 /en/ /home""".split()
+
+
+def _seed_urls() -> tuple[tuple[str, int], ...]:
+    out = []
+    for block, sites in ((1, BLOCKED_SITES), (0, OTHER_SITES)):
+        for turn in (0, 7, 18):
+            for i, site in enumerate(sites):
+                scheme, front, end = ("http", "https")[(i + turn) % 2], ("", "www.", "m.", "blog.")[(i + turn) // 2 % 4], ("com", "net", "org")[(i + turn) % 3]
+                out.append((f"{scheme}://{front}{site}.example.{end}{PATHS[(i + turn) % len(PATHS)]}", block))
+    return tuple(out)
+
+
+SEED_URLS = _seed_urls()
 
 
 def host_of(url: Column) -> Column:
@@ -101,16 +102,15 @@ def train(labelled: Iterable[tuple[str, int]] = SEED_URLS, bits: int = BITS) ->
     """Gradient descent over all rows. labelled: url, 1 to block. Rows with a null are left out."""
     pairs = [(marked_url(u), y) for u, y in labelled if u is not None and y is not None]
     if not pairs:
-        return np.zeros(1 << bits), -1.0
+        return np.zeros(1 << bits), PRIOR
     y = np.array([p[1] for p in pairs], float)
     index, row = features(pa.array([p[0] for p in pairs], pa.string()), bits)
     scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
-    weights, bias = np.zeros(1 << bits), 0.0
+    weights, bias = np.zeros(1 << bits), PRIOR
     for _ in range(EPOCHS):
         off = 1 / (1 + np.exp(-logits(weights, bias, index, row, len(y)))) - y
         weights -= RATE * (np.bincount(index, (off * scale)[row], 1 << bits) / len(y) + RIDGE * weights)
-        bias -= RATE * off.mean()
-    return weights, float(bias)
+    return weights, bias
 
 
 def marked_url(url: str) -> str:
