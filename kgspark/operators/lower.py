@@ -27,6 +27,8 @@ class Relation:
     values: dict[str, Val]
     #: Of a union: the quads' text by part, which takes no terms in between.
     parts: Callable[[], list[DataFrame]] | None = None
+    #: Whether no row can be of a named graph.
+    default_only: bool = False
 
     def materialised(self, structs: bool = False) -> Relation:
         """Attributes as columns of their own."""
@@ -82,6 +84,22 @@ def compile_expression(e: Expression, values: dict[str, Val]) -> Val:
 
 
 def lower(op: Operator, spark: SparkSession, strict: bool = False) -> Relation:
+    out = _lower(op, spark, strict)
+    out.default_only = _default_only(op)
+    return out
+
+
+def _default_only(op: Operator) -> bool:
+    if isinstance(op, Union):
+        return all(map(_default_only, op.parts))
+    if isinstance(op, Project):
+        return "graph" not in op.names or _default_only(op.parent)
+    if isinstance(op, Extend):
+        return isinstance(op.expression, Constant) and op.expression.value in (None, T.IRI(T.RR + "defaultGraph")) if op.attribute == "graph" else _default_only(op.parent)
+    return "graph" not in op.attributes()
+
+
+def _lower(op: Operator, spark: SparkSession, strict: bool) -> Relation:
     if isinstance(op, Source):
         return Relation(*op.reader.read(spark, op.iterator, dict(op.mappings), strict))
     if isinstance(op, Extend):

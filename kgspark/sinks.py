@@ -15,12 +15,13 @@ def quads(result: Relation | DataFrame) -> DataFrame:
     return result.text() if isinstance(result, Relation) else result
 
 
-def finalised(rows: DataFrame) -> DataFrame:
+def finalised(result: Relation | DataFrame) -> DataFrame:
     """Distinct rows; of equal subject, predicate and object, those of the default graph go if there is one of a named graph."""
-    key = ["subject", "predicate", "object"]
-    once = rows.distinct()
-    # One aggregate instead of a join with itself: a triple's graphs, as a set.
-    grouped = once.groupBy(*key).agg(F.collect_set("graph").alias("graphs"))
+    rows, key = quads(result), ["subject", "predicate", "object"]
+    if isinstance(result, Relation) and result.default_only:
+        return rows.distinct()
+    # One aggregate and one shuffle, instead of a join with itself: a triple's graphs, as a set.
+    grouped = rows.groupBy(*key).agg(F.collect_set("graph").alias("graphs"))
     none = F.array(F.lit(None).cast("string"))
     return grouped.select(*key, F.explode(F.when(F.size("graphs") > 0, F.col("graphs")).otherwise(none)).alias("graph"))
 
@@ -30,19 +31,19 @@ def ntriples(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(" ", "subject", "predicate", "object", F.lit(".")).alias("line")).distinct()
 
 
-def nquads(rows: DataFrame) -> DataFrame:
-    return finalised(rows).select(F.concat_ws(" ", "subject", "predicate", "object", "graph", F.lit(".")).alias("line"))
+def nquads(result: Relation | DataFrame) -> DataFrame:
+    return finalised(result).select(F.concat_ws(" ", "subject", "predicate", "object", "graph", F.lit(".")).alias("line"))
 
 
 def lines(result: Relation | DataFrame, name: str) -> DataFrame:
     """By the name's extension: .nq is N-Quads; .nt, .ttl, .turtle and others are N-Triples."""
-    return nquads(quads(result)) if name.endswith(".nq") else ntriples(quads(result))
+    return nquads(result) if name.endswith(".nq") else ntriples(quads(result))
 
 
 def write(result: Relation | DataFrame, path: str, single_file: bool = False) -> None:
     """A folder of parts; Parquet if the name ends so. single_file: one local file, for small results."""
     if path.endswith(".parquet"):
-        finalised(quads(result)).write.mode("overwrite").parquet(path)
+        finalised(result).write.mode("overwrite").parquet(path)
     elif single_file:
         os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
         with open(path, "w", encoding="utf-8") as f:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.functions.terms import Val
+from kgspark.functions.terms import Val, double_text
 from kgspark.sources.base import Reader, explode_all
 
 _STEP = re.compile(r"""\.?\[\s*(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)"|(\d+)|(\*))\s*\]|\.(\*)|\.?([^.\[\]\s*'"]+)""")
@@ -85,6 +85,8 @@ def extracted(context: Column, query: str) -> Column:
     found = nodes(context, steps)
     flat = F.flatten(F.transform(found, lambda n: F.coalesce(_items(n), F.array(n))))
     flat = F.transform(flat, lambda n: F.when(n.startswith("{") & F.try_parse_json(n).isNotNull(), F.lit(None).cast("string")).otherwise(n))
+    # A number that the parser prints with an exponent, as Python prints it.
+    flat = F.transform(flat, lambda n: F.when(n.rlike(r"^-?\d\.\d+E-?\d+$"), double_text(n.try_cast("double"))).otherwise(n))
     if None in steps or not steps:
         return flat
     is_null = F.coalesce(F.is_variant_null(F.try_variant_get(F.try_parse_json(context), _spelled(steps), "variant")), F.lit(False))

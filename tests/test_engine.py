@@ -202,6 +202,20 @@ def test_json(spark, tmp_path):
     assert read(spark, lines, "$", v="$['a.b']") == [("1",), ("2",)]
 
 
+def test_json_numbers(spark, tmp_path):
+    values = [1, 1.0, 1.5, 100.0, 12345678.9, 1.5e10, 1e-5, 0.0001, -2.5e-7, 123456789]
+    path = write(tmp_path / "n.json", json.dumps([{"v": v} for v in values]))
+    assert sorted(read(spark, S.JsonFile(path), "$[*]", v="v")) == sorted((str(v),) for v in values)
+
+
+def test_default_graph_only(spark):
+    t = table(spark, id=[1, 1])
+    text = PREFIX + 'ex:M rr:logicalTable [ rr:tableName "t" ] ; rr:subjectMap [ rr:template "http://e/{id}" ; rr:class ex:T %s ] .'
+    for more, alone, n in (("", True, 1), ("; rr:graph ex:g", False, 1), ("; rr:graph rr:defaultGraph", True, 1), ("; rr:graph rr:defaultGraph, ex:g", False, 1)):
+        result = Mapping(text % more, options=Options(frames={"t": t})).execute(spark)
+        assert result.default_only is alone and sinks.nquads(result).count() == n
+
+
 def test_json_paths():
     assert parse_path("$.a['b c'][0][*].d") == ["a", "b c", 0, None, "d"]
     for bad in ("$..a", "$.a[?(@.b)]", "$.a[1:2]"):
