@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._spark import drop_path, scratch
+from kgspark.llm._spark import drop_path, scratch, store
 
 
 def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, list[str]]:
@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, list[str]]:
         both = both.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # Written, so that a node of many neighbours is met in a join whose partitions Spark can split.
     path = scratch(spark, "least")
-    both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("low")).write.parquet(path)
+    store(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("low")), path)
     met = both.join(spark.read.parquet(path).hint("merge"), F.col("u") == F.col("node"))
     if large:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b"))
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def stored(df: DataFrame) -> tuple[DataFrame, str, tuple]:
         path = scratch(spark, "edges")
-        df.write.parquet(path)
+        store(df, path)
         df = spark.read.parquet(path)
         return df, path, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +41,29 @@ def clean(spark: SparkSession) -> None:
     drop_path(spark, _own_dir(spark))
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, an action's shuffle files go when the action ends, and not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def store(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Writes df as Parquet."""
+    with tidy(df.sparkSession):
+        df.write.mode(mode).parquet(path)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and no executor's loss undoes it."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    store(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

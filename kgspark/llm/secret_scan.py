@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._spark import scratch, table
+from kgspark.llm._spark import scratch, store, table
 
 #: Kind, pattern, and whether its group 2 needs 6 characters; the first three are the base rules.
 RULES = (
@@ -92,7 +92,7 @@ def _joined(rows: DataFrame, ledger: str | None, rules) -> DataFrame:
     if known is not None:
         fresh = fresh.join(known.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
     fresh = fresh.groupBy("blob").agg(F.any_value("text").alias("text"))
-    findings(fresh, rules).withColumn("rules", F.lit(version)).write.mode("append").parquet(path)
+    store(findings(fresh, rules).withColumn("rules", F.lit(version)), path, "append")
     found = ledger_rows(spark, path).where((F.col("rules") == version) & (F.size("found") > 0)).select(F.col("blob").alias("found_blob"), F.col("found").alias("was_found"))
     found = found.dropDuplicates(["found_blob"]) if known is not None else found
     none = F.array().cast(found.schema["was_found"].dataType)
