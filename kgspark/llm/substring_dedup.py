@@ -14,7 +14,7 @@ batch is merged with the first rows of all runs, in one sort; neighbours then sh
 *   the first of a block whose anchor has other blocks too: some of its windows may have occurred before;
 *   other firsts: none of their windows occurred before.
 Rows next to a partition's edge count as of the second kind, so that a very frequent anchor or block may lie
-across any number of partitions. The batch's rows become a new run. Beyond FANOUT runs they are compacted to
+across any number of partitions. The settled batch's rows become a new run. Beyond FANOUT runs they are compacted to
 one, which keeps first rows only.
 
 Verification. For the second kind, documents are read again and the hashes of their single windows are compared:
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm._spark import drop_path, kept, scratch, table
+from kgspark.llm._spark import drop_path, kept, scratch, store, table
 from kgspark.llm._words import NOT_SPACE, U, block_hashes, grams, least, long_array, pieces, window_starts, words
 
 WIDTH, GRAM, FANOUT, BATCHES, HELD = 20, 6, 4, 2, 1 << 20
@@ -120,7 +120,7 @@ class FingerprintIndex:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(hadoop):
-            names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+            names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("run-") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
             # A compacted run's name says up to which batch it holds; runs that it has taken in may still be there.
             past = max((int(n[4:10]) for n in names if n.endswith("c")), default=0)
             self.runs = [f"{self.path}/{n}" for n in names if int(n[4:10]) > past or n == f"run-{past:06d}c"]
@@ -138,23 +138,33 @@ class FingerprintIndex:
         return out
 
     def _sorted(self, rows: DataFrame, path: str) -> None:
-        rows.select(*KEY).repartitionByRange(*KEY).sortWithinPartitions(*KEY).mapInArrow(_judged, f"{SCHEMA}, kind int").write.parquet(path)
+        store(rows.select(*KEY).repartitionByRange(*KEY).sortWithinPartitions(*KEY).mapInArrow(_judged, f"{SCHEMA}, kind int"), path)
+
+    @property
+    def scratch(self) -> str:
+        """Where a batch's own tables are until it is settled."""
+        return f"{self.path}-batch"
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        store(df, f"{self.scratch}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.scratch}/{name}")
 
     def merge(self, rows: DataFrame) -> DataFrame:
         """rows: id, text. Merges a batch with the runs; gives its judged rows, with the older firsts that share an anchor."""
         self.batch += 1
-        path, history = f"{self.path}/run-{self.batch:06d}", self.history()
+        drop_path(self.spark, self.scratch)  # of a batch that was not settled
+        history = self.history()
         new = blocks_of(rows.select("id", "text"), self.batch, self.width, self.gram)
-        self._sorted(new if history is None else history.union(new), path + "-merged" if history is not None else path)
-        merged = self._read(path + "-merged" if history is not None else path)
-        if history is not None:
-            merged.where(F.col("batch") == self.batch).write.parquet(path)
-        self.runs.append(path)
-        return merged
-
-    def settle(self) -> None:
-        """Ends a batch: drops what only its merge needed, and compacts when there are too many runs."""
-        drop_path(self.spark, f"{self.path}/run-{self.batch:06d}-merged")
+        self._sorted(new if history is None else history.union(new), f"{self.scratch}/merged")
+        return self._read(f"{self.scratch}/merged")
+
+    def settle(self, last: bool = False) -> None:
+        """Ends a batch, when its results are written: its rows become a run (if it isn't the last), its other tables go, and runs are compacted when there are too many."""
+        if not last:
+            path = f"{self.path}/run-{self.batch:06d}"
+            store(self._read(f"{self.scratch}/merged").where(F.col("batch") == self.batch), path)
+            self.runs.append(path)
+        drop_path(self.spark, self.scratch)
         if len(self.runs) > self.fanout:
             old, path = self.runs, f"{self.path}/run-{self.batch:06d}c"
             rows = self.history()
@@ -186,9 +196,9 @@ def removals(index: FingerprintIndex, rows: DataFrame, older: DataFrame | None =
 
     texts = (rows if older is None else older.union(rows)).select("id", "text")
     met = texts.join(mixed, F.col("id") == F.col("asked_id")).select("id", "batch", "text", "asked")
-    windows = kept(met.mapInArrow(run, SCHEMA).distinct(), "windows")
+    windows = index.stored(met.mapInArrow(run, SCHEMA).distinct(), "windows")
     first = windows.groupBy("anchor", "block").agg(F.min(F.struct("batch", "id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = kept(first.select(F.col("anchor").alias("f_anchor"), F.col("block").alias("f_block"), "first"), "firsts")
+    first = index.stored(first.select(F.col("anchor").alias("f_anchor"), F.col("block").alias("f_block"), "first"), "firsts")
     late = windows.where(batch).join(first, (F.col("anchor") == F.col("f_anchor")) & (F.col("block") == F.col("f_block")))
     late = late.where(F.struct("batch", "id", "place") != F.col("first")).select("id", "place", F.col("anchor").alias("check"))
     return again.union(late)
@@ -249,7 +259,7 @@ def dedup_all(documents: DataFrame, batches: int = BATCHES, width: int = WIDTH,
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         own = (F.lit(True) if low is None else F.coalesce(at > low, F.lit(True))) & (F.lit(True) if high is None else F.coalesce(at <= high, F.lit(False)))
         found = kept(dedup(documents.where(own), index, older, id_col, text_col).drop("kept"), "deduplicated")
-        index.settle()
+        index.settle(last=high is None)
         older = documents.where(F.coalesce(at <= high, F.lit(False))) if high is not None else None
         out = found if out is None else out.unionByName(found)
     return out
