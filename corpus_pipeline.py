@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark import ship
-from kgspark.llm import decontaminate, secret_scan, simhash_dedup, source_mix, toxicity
+from kgspark.llm import decontaminate, near_copies, secret_scan, source_mix, toxicity
 from kgspark.llm._spark import kept, table
 
 #: A name that no column of documents has.
@@ -33,10 +33,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest id."""
+    """Of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the document of the smallest id."""
     ship(spark)
     keyed = docs.withColumn(KEY, _key())
-    found = simhash_dedup.near_duplicates(keyed.select(KEY, "text"), KEY)
+    found = near_copies.near_copies(keyed.select(KEY, "text"), KEY)
     first = kept(found.where(F.col(KEY) == F.col("component")).select(F.col(KEY).alias("first_key")).distinct(), "first")
     return keyed.join(first.hint("merge"), F.col(KEY) == F.col("first_key"), "left_semi").dropDuplicates([KEY]).drop(KEY)
 

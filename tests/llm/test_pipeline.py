@@ -1,14 +1,16 @@
 """Each stage of the corpus pipeline against brute force, on a small corpus with cases of all kinds."""
 
+import itertools
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import corpus_pipeline
 import pytest
-from test_operators import NOT_SPACE, brute_components, brute_fingerprint, brute_hits, brute_secrets, brute_targets, prose
+from test_operators import NOT_SPACE, brute_components, brute_fingerprint, brute_hits, brute_secrets, brute_targets, lower, prose
 
-from kgspark.llm import toxicity
+from kgspark.llm import near_copies, toxicity
 from kgspark.llm._spark import kept
 
 
@@ -108,3 +110,58 @@ def test_model_is_reproducible(spark, corpus):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     a, b = (toxicity.train(d, labels) for d in (docs, docs.repartition(7)))
     assert a[1] == b[1] and (a[0] == b[0]).all()
+
+
+def brute_near(texts):
+    """The component of each text, by the Jaccard similarity of all pairs."""
+    sets = []
+    for t in texts:
+        w = re.findall(NOT_SPACE, lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    of = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        shared = len(sets[i] & sets[j])
+        if of[i] != of[j] and 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+            of = [of[i] if x == of[j] else x for x in of]
+    return of
+
+
+@pytest.mark.parametrize("crowd", [64, 3])
+def test_near_copies(spark, corpus, crowd):
+    """Copies with changes around the threshold, a chain, a large group, a line that most texts have, short and empty texts."""
+    rng = random.Random(22)
+    line, texts = prose(rng, 30, 3000), []
+    for _ in range(25):
+        w = prose(rng, rng.randrange(20, 120), 3000).split()
+        texts.append(" ".join(w))
+        for _ in range(rng.randrange(4)):
+            v = list(w)
+            for _ in range(rng.randrange(1, 4)):
+                v[rng.randrange(len(v))] = "changed"
+            texts.append(" ".join(v))
+    texts += [f"{prose(rng, rng.randrange(4, 40), 3000)} {line} {prose(rng, 5, 3000)}" for _ in range(90)]
+    texts += [f"{line} {i} {i // 2}" for i in range(8)] + [f"{line} {' '.join(line.split()[: i % 9])}" for i in range(20)]
+    group = prose(rng, 100, 3000).split()
+    for i in range(80):
+        v = list(group)
+        v[rng.randrange(100)] = f"x{i}"
+        texts.append(" ".join(v))
+    chain = prose(rng, 90, 3000).split()
+    for i in range(12):
+        chain[7 * i] = "link"
+        texts.append(" ".join(chain).upper())
+    texts += ["one", "One", "two words", None, "", " ", "a b c d e", "a b c d e f", "a a a a a a a", "a a a a a"]
+    rng.shuffle(texts)
+    of = brute_near(texts)
+    least = {}
+    for i, c in enumerate(of):
+        least.setdefault(c, i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component for r in near_copies.near_copies(docs, crowd=crowd).collect()}
+    assert found == {i: least[c] for i, c in enumerate(of)}
+    assert len(set(of)) < len(texts) - 100
+    if crowd == near_copies.CROWD:
+        folder, _ = corpus
+        stays = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+        assert sorted(r.doc_id for r in stays.collect()) == sorted(least.values())
+    assert near_copies.SIMILARITY == Fraction(4, 5) and near_copies.SHINGLE == 5
