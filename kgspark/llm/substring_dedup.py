@@ -13,7 +13,7 @@ batch is merged with the first rows of all runs, in one sort; neighbours then sh
 *   a block that occurred before: all its windows did, so all are removed;
 *   the first of a block whose anchor has other blocks too: some of its windows may have occurred before;
 *   other firsts: none of their windows occurred before.
-Rows next to a partition's edge count as of the second kind, so that a very frequent anchor or block may lie
+Equal rows, which repeated rows of documents give, are one. Rows next to a partition's edge count as of the second kind, so that a very frequent anchor or block may lie
 across any number of partitions. The settled batch's rows become a new run. Beyond FANOUT runs they are compacted to
 one, which keeps first rows only.
 
@@ -82,7 +82,11 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at_edge = True  # whether the held rows' anchor may go on before them
 
     def judge(t: pa.Table, first_edge: bool, last_edge: bool) -> pa.RecordBatch:
-        anchor, block = t.column("anchor").to_numpy(), t.column("block").to_numpy()
+        keys = [t.column(c).to_numpy() for c in KEY]
+        once = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
+        if not once.all():  # repeated rows of documents
+            t = t.filter(pa.array(once))
+        anchor, block = keys[0][once], keys[1][once]
         new_anchor = np.append(True, anchor[1:] != anchor[:-1])
         new = new_anchor | np.append(True, block[1:] != block[:-1])
         of = np.cumsum(new_anchor) - 1

@@ -164,6 +164,17 @@ def test_substring_dedup(docs, batches, fanout):
     assert rows(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_dedup(texts, 20)
 
 
+@pytest.mark.parametrize("batches", [1, 2])
+def test_substring_dedup_of_repeated_rows(docs, batches):
+    """Repeated rows, and repeated null ids, of texts that stand nowhere else keep them."""
+    rng = random.Random(23)
+    one, two, other = prose(rng, 60, 900), prose(rng, 50, 900), prose(rng, 40, 900)
+    texts = [(1, other), (22, one), (22, one), (22, one), (None, two), (None, two), (40, one + " tail"), (41, other), (41, other)]
+    out = substring_dedup.dedup_all(docs(texts), batches=batches)
+    assert rows(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_dedup(texts, 20)
+    assert [r.n_removed for r in out.collect() if r.doc_id in (22, None)] == [0] * 5
+
+
 def test_substring_dedup_random(docs):
     """Few words, so that windows repeat in all ways."""
     rng = random.Random(6)
