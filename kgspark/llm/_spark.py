@@ -64,7 +64,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     store(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what kept() has written for df, when all that reads it has been written."""
+    drop_path(df.sparkSession, df.kept_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

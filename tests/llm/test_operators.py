@@ -323,28 +323,124 @@ def test_lm_scores(docs):
     n, v = sum(count.values()), len(count)
     expected = sorted(((i, h, len(t), sum(count[x] > 0 for x in t), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in t), 6)) for (i, _), t, h in zip(texts, tokens, held, strict=True)), key=str)
     for hot in (1 << 19, 10):
-        out = lm_score.lm_scores(docs(texts), hold, hot_words=hot).collect()
+        out = lm_score.lm_scores(docs(texts), hold, hot=hot, part=30).collect()
         assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out), key=str) == expected
         assert all(r.score < 0 and r.bits_per_byte > 0 for r in out)
 
 
-def test_lm_is_a_distribution(spark):
+def test_lm_is_a_distribution():
     """The probabilities of all bytes after a token's beginning add up to 1."""
     import pyarrow as pa
 
     m = lm_score.Model(np.zeros(lm_score.SLOTS, np.uint8), np.zeros(lm_score.SLOTS, np.uint8))
-    for _, _, _, slots, bit in lm_score.events(pa.array([b"abc", b"abd", b"b"]), np.array([0, 0, 1])):
+    for _, _, _, slots, _, _, bit in lm_score.Letters(pa.array([b"abc", b"abd", b"b"]), np.array([0, 0, 1])).events():
         np.add.at(m.ones, slots[:, bit == 1].ravel(), 1)
         np.add.at(m.zeros, slots[:, bit == 0].ravel(), 1)
     # Bytes but the last one, which would end a token, have one code each.
-    total = 0.0
-    for _, _, _, slots, bit in lm_score.events(pa.array([bytes([c]) for c in range(256)]), np.zeros(256, int)):
-        p = m.predict(slots, bit)[2].reshape(-1, 2, 8)[:, 0].astype(float)
-        b = bit.reshape(-1, 2, 8)[:, 0]
-        total += np.where(b > 0, p, 1 - p).prod(axis=1).sum()
+    total, taught = 0.0, [b"abcd", b"abce", b"abc"]
+    texts = [b"abc" + bytes([c]) for c in range(256)] + taught
+    letters = lm_score.Letters(pa.array(texts), np.zeros(259, int), np.array([0] * 256 + [3, 2, 1]), np.full(259, 3))
+    for begin, n, token, slots, ones, zeros, bit in letters.events():
+        p = m.predict(slots, ones, zeros, bit)[2].astype(float)
+        nth = np.concatenate([np.arange(8 * size) for size in letters.size[begin : begin + n]])
+        chosen = (nth // 8 == 3) & (begin + token < 256)
+        total += np.exp(np.bincount(token[chosen], np.log(np.where(bit > 0, p, 1 - p))[chosen], 256)).sum()
     assert total == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_lm_beginnings(seed):
+    """Counts of beginnings against brute force."""
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    made = {(bytes(rng.choice(b"ab\x01\xc3") for _ in range(rng.randrange(0, 9))), rng.randrange(2)): rng.randrange(4) for _ in range(300)}
+    made[b"ab" * 30, 0], made[b"ab" * 29 + b"aa", 0] = 1, 2
+    texts, kinds, counts = [w for w, _ in made], np.array([k for _, k in made]), np.array(list(made.values()))
+    letters = lm_score.Letters(pa.array(texts), kinds, counts, np.full(len(texts), 3))
+    coded = [bytes(t + b" ") if t else b"\n" for t in texts]
+    for i in range(2):
+        seen = Counter()
+        for t, k, c in zip(coded, kinds, counts, strict=True):
+            for at in range(len(t)):
+                for bit in range(8):
+                    seen[t[:at], k * i, t[at] >> (7 - bit) | 1 << (bit + 1)] += c
+        for t, k, start in zip(coded, kinds, letters.start, strict=False):
+            for at in range(len(t)):
+                for bit in range(8):
+                    code = [seen[t[:at], k * i, (t[at] >> (8 - bit)) << 1 | 1 << (bit + 1) | b] if 3 <= at < lm_score.DEPTH else 0 for b in (1, 0)]
+                    expected = [int(x[0]) for x in lm_score.coded(*(np.array([float(v)]) for v in code))]
+                    assert [letters.ones[i][start + at, bit], letters.zeros[i][start + at, bit]] == expected
+
+
+def test_lm_counts_keep_their_ratio():
+    one, zero = lm_score.coded(np.array([1e12, 4e9]), np.array([1e10, 0.0]))
+    ratio = lm_score.DECODED[one] / np.maximum(lm_score.DECODED[zero], 1)
+    assert ratio[0] == pytest.approx(100, rel=0.1) and one[1] == 255 and zero[1] == 0
+
+
+def brute_expectations(texts, held):
+    """Of each text: what each stretch after a known context is expected to be, from all other rows that teach (and all of a row's other stretches)."""
+    import pyarrow as pa
+
+    from kgspark.llm._words import U, grams, words
+
+    found = []
+    for row, t in enumerate(texts):
+        w = words(pa.array([t]), re_not_space(), True)
+        g = grams(w.hashes(), lm_score.CONTEXT)
+        tokens = [w.text(i, i + 1) for i in range(len(w))]
+        begins = [i + lm_score.CONTEXT for i in range(len(g)) if g[i] % U(lm_score.SPACING) == 0]
+        for a, z in zip(begins, [*begins, None][1:], strict=True):
+            found.append((row, a, tuple(tokens[a - lm_score.CONTEXT : a]), tuple(tokens[a:z]) + ((None,) if z is None else ())))
+    every = Counter((c, s) for row, _, c, s in found if not held[row])
+    out = []
+    for row, a, context, stretch in found:
+        n = Counter({s: k for (c, s), k in every.items() if c == context})
+        if not held[row]:
+            n[stretch] -= 1
+        often = max(n.values(), default=0)
+        if often > 0:
+            ties = [s for s, k in n.items() if k == often]
+            out.append((row, a, len(stretch), often, sum(n.values()) - often, stretch in ties, len(ties) > 1))
+    return out
+
+
+def re_not_space():
+    from kgspark.llm._words import NOT_SPACE as kind
+
+    return kind
+
+
+def test_lm_stretches(docs):
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randrange(0, 200), 4) for _ in range(60)] + [prose(rng, 300, 30)] * 3 + [None, ""]
+    held = [i % 5 == 0 for i in range(len(texts))]
+    rows_in = docs(list(enumerate(texts))).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("own"), (F.col("doc_id") % 5 == 0).alias("held_out"), "text")
+    out = lm_score.expected(lm_score.stretches(rows_in)).select("id", F.explode("bits").alias("b")).select("id", "b.*")
+    got = {(r.id, r.at): tuple(r)[2:] for r in out.collect()}
+    brute = brute_expectations(texts, held)
+    assert len(brute) > 300 and set(got) == {x[:2] for x in brute}
+    for row, at, n, often, other, hit, tie in brute:
+        assert got[row, at][:3] == (n, often, other)
+        assert got[row, at][3] == hit or tie
+
+
+def test_lm_tells_copies_apart(docs):
+    """A text of which another row has a copy is likelier; so is one in the order that was taught."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(120))) for i in range(200)]
+    mixed = texts[3][1].split()
+    rng.shuffle(mixed)
+    texts += [(1000, texts[3][1]), (1001, " ".join(mixed)), (1002, texts[3][1].upper() + " fin")]
+    out = {r.doc_id: r for r in lm_score.lm_scores(docs(texts), F.col("doc_id") >= 1000).collect()}
+    single = max(out[i].score for i in range(200))
+    assert out[1000].score > 0.4 * single and out[1002].score > 0.4 * single and out[1001].score < 0.9 * single
+    again = {r.doc_id: r for r in lm_score.lm_scores(docs(texts).repartition(7), F.col("doc_id") >= 1000).collect()}
+    assert all(again[i].score == pytest.approx(out[i].score, abs=1e-3) for i in out)
+
+
 def test_lm_learns(docs):
     rng = random.Random(14)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(300)]
