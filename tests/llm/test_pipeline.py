@@ -61,7 +61,7 @@ def test_stages(spark, corpus):
             assert {r.doc_id for r in after} == {r.doc_id for r in before} - bad
             assert len(after) == len(before) - len(bad)
         elif name == "simhash_dedup":
-            of = brute_components([brute_fingerprint(r.text or "") for r in before])
+            of = brute_near([r.text for r in before])
             low = {}
             for r, c in zip(before, of, strict=True):
                 low[c] = min(low.get(c, 10**9), r.doc_id if r.doc_id is not None else 10**8)
@@ -126,7 +126,7 @@ def brute_near(texts):
     return of
 
 
-@pytest.mark.parametrize("crowd", [64, 3])
+@pytest.mark.parametrize("crowd", [near_copies.CROWD, 3])
 def test_near_copies(spark, corpus, crowd):
     """Copies with changes around the threshold, a chain, a large group, a line that most texts have, short and empty texts."""
     rng = random.Random(22)
@@ -157,7 +157,7 @@ def test_near_copies(spark, corpus, crowd):
     for i, c in enumerate(of):
         least.setdefault(c, i)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: r.component for r in near_copies.near_copies(docs, crowd=crowd).collect()}
+    found = {r.doc_id: r.component for r in near_copies.near_copies(docs, crowd=crowd, block=near_copies.BLOCK if crowd > 3 else 700).collect()}
     assert found == {i: least[c] for i, c in enumerate(of)}
     assert len(set(of)) < len(texts) - 100
     if crowd == near_copies.CROWD:
