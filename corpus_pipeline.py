@@ -16,8 +16,8 @@ from kgspark import ship
 from kgspark.llm import decontaminate, near_copies, secret_scan, source_mix, toxicity
 from kgspark.llm._spark import kept, table
 
-#: A name that no column of documents has.
-KEY = "__row_key"
+#: Names that no column of documents has.
+KEY, OWN = "__row_key", "__row_own"
 
 
 def _key() -> Column:
@@ -33,12 +33,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the document of the smallest id."""
+    """Of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the document of the smallest id (and text's hash)."""
     ship(spark)
     keyed = docs.withColumn(KEY, _key())
     found = near_copies.near_copies(keyed.select(KEY, "text"), KEY)
-    first = kept(found.where(F.col(KEY) == F.col("component")).select(F.col(KEY).alias("first_key")).distinct(), "first")
-    return keyed.join(first.hint("merge"), F.col(KEY) == F.col("first_key"), "left_semi").dropDuplicates([KEY]).drop(KEY)
+    first = kept(found.groupBy("group").agg(F.min(F.struct(KEY, "own")).alias("first")).select(F.col("first")[KEY].alias("first_key"), F.col("first.own").alias("first_own")), "first")
+    own = F.xxhash64(F.col(KEY), F.col("text").cast("string"))
+    keyed = keyed.withColumn(OWN, own)
+    return keyed.join(first.hint("merge"), (F.col(KEY) == F.col("first_key")) & (F.col(OWN) == F.col("first_own")), "left_semi").dropDuplicates([KEY, OWN]).drop(KEY, OWN)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
