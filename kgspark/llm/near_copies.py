@@ -7,7 +7,8 @@ element among the first s - ceil(t * s) + 1 of each (s: its size), in any order
 order is that of hashes, with common elements last: those that more than CROWD nodes have among their first are moved to
 the end, in up to ROUNDS readings of the texts (at most LATE of them, the most common ones; the order decides on the work, never on the result).
 
-Whatever the fingerprints or such an element proposes is compared by whole sets:
+Whatever the fingerprints or such an element proposes must pass two exact bounds first: sizes, and parities (the numbers of elements in
+each of PARITY classes of hashes, modulo 2; sets differ in no fewer elements than classes). What passes is compared by whole sets:
 1.  Each node with the smallest node of each of its elements. This settles the elements whose nodes it connects.
 2.  Of other elements with up to CROWD nodes, all pairs that are not connected yet.
 3.  Other elements' nodes, tied to crowds: each node outside its crowd's main component with all nodes of the crowd, in
@@ -35,7 +36,8 @@ from kgspark.llm._words import NOT_SPACE, U, _words, long_array, mix, pieces, pr
 from kgspark.llm.simhash_dedup import fingerprints
 from kgspark.llm.simhash_dedup import links as close_prints
 
-SHINGLE, SIMILARITY, CROWD, ROUNDS, LATE, LANE, BLOCK = 5, Fraction(4, 5), 16, 3, 1 << 20, 256, 1 << 20
+SHINGLE, SIMILARITY, CROWD, ROUNDS, LATE, LANE, BLOCK = 5, Fraction(4, 5), 16, 2, 1 << 20, 256, 1 << 18
+PARITY, LARGE = (1024, 16384), 2000  # classes of a set, and of one of more than LARGE elements
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,22 +86,38 @@ def _nodes(documents: DataFrame, shingle: int) -> DataFrame:
 
 
 def _firsts_of(texts: DataFrame, late: np.ndarray, shingle: int, similarity: Fraction) -> DataFrame:
-    """texts: node, text. node, size (of its set), elements (the first ones, late ones after all others)."""
+    """texts: node, text. node, size (of its set), parity, elements (the first ones, late ones after all others)."""
     shared = texts.sparkSession.sparkContext.broadcast(late)  # LATE numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             h, begin, node = shingle_sets(b.column("text"), shingle)
             sizes = np.diff(begin)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            classes = np.where(sizes > LARGE, PARITY[1], PARITY[0])
+            base = np.concatenate([[0], np.cumsum(classes)])
+            odd = np.bincount(base[doc] + (mix(h) % classes[doc].astype(U)).astype(np.int64), minlength=int(base[-1])) & 1
+            parity = np.packbits(odd.astype(np.uint8)).view(np.int64)
             if len(shared.value) and len(h):
                 own = h.view(np.int64)
                 moved = shared.value[np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)] == own
-                h = h[np.argsort(2 * np.repeat(np.arange(len(sizes)), sizes) + moved, kind="stable")]
+                h = h[np.argsort(2 * doc + moved, kind="stable")]
             take = _firsts(sizes, similarity)
             rank = np.arange(len(h)) - np.repeat(begin[:-1], sizes)
-            yield pa.RecordBatch.from_arrays([long_array(node), long_array(sizes), _lists(h[rank < np.repeat(take, sizes)], take)], ["node", "size", "elements"])
+            parities = _lists(parity, classes // 64)
+            yield pa.RecordBatch.from_arrays([long_array(node), long_array(sizes), parities, _lists(h[rank < np.repeat(take, sizes)], take)], ["node", "size", "parity", "elements"])
 
-    return texts.mapInArrow(run, "node long, size long, elements array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, size long, parity array<long>, elements array<long>")
+
+
+def _possible(pairs: DataFrame, firsts: DataFrame, similarity: Fraction) -> DataFrame:
+    """pairs: a, b. Those that sizes and parities permit."""
+    one, two = (firsts.select(F.col("node").alias(f"{x}_node"), F.col("size").alias(f"{x}_size"), F.col("parity").alias(f"{x}_parity")) for x in "ab")
+    met = pairs.join(one.hint("merge"), F.col("a") == F.col("a_node")).join(two.hint("merge"), F.col("b") == F.col("b_node"))
+    differ = "if(size(a_parity) = size(b_parity), aggregate(zip_with(a_parity, b_parity, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y), 0)"
+    # |x - y| + |y - x| = |x| + |y| - 2 |x & y|, and a similarity of t needs |x & y| >= t / (1 + t) * (|x| + |y|).
+    t, of = similarity.numerator, similarity.denominator
+    return met.where(f"least(a_size, b_size) * {of} >= greatest(a_size, b_size) * {t} and ({differ}) * {of + t} <= (a_size + b_size) * {of - t}").select("a", "b")
 
 
 def _sets(texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
@@ -111,7 +129,7 @@ def _sets(texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([long_array(node), _lists(h, np.diff(begin))], ["node", "elements"])
 
     met = texts.join(asked.withColumnRenamed("node", "asked_node").hint("merge"), F.col("node") == F.col("asked_node"), "left_semi")
-    return met.select("text").mapInArrow(run, "node long, elements array<long>").dropDuplicates(["node"])
+    return met.select("text").mapInArrow(run, "node long, elements array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
@@ -237,30 +255,29 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: Fraction = SIMIL
         dropped(firsts)
         dropped(counted)
 
-    similar_size = lambda x, y: F.least(x, y) * similarity.denominator >= F.greatest(x, y) * similarity.numerator
     of = rows.join(counted.hint("merge"), F.col("element") == F.col("met"))
-    star = of.where("node > a").where(similar_size("size", "size_a")).select("a", F.col("node").alias("b"))
-    pairs = kept(star.union(proposed(texts, shingle)).distinct(), "pairs")
-    # All nodes that any step may ask for.
-    asked = of.where("n > 2").select("node").union(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    sets = kept(_sets(texts, asked, shingle), "sets")
+    star = of.where("node > a").where(F.least("size", "size_a") * similarity.denominator >= F.greatest("size", "size_a") * similarity.numerator).select("a", F.col("node").alias("b"))
+    pairs = kept(_possible(kept(star.union(proposed(texts, shingle)).distinct(), "stars"), firsts, similarity), "pairs")
+    sets = kept(_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle), "sets")
     near = kept(_compared(pairs, sets, similarity), "near")
+    dropped(sets)
 
     comps = kept(components(near), "comps").withColumnRenamed("node", "c_node")
     left = of.where("n > 2").join(comps.hint("merge"), F.col("node") == F.col("c_node"), "left").select("met", "n", "node", "size", F.coalesce("root", "node").alias("comp"))
     left = kept(left, "members")
     unsettled = left.groupBy(F.col("met").alias("open")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("open")
     left = kept(left.join(kept(unsettled, "unsettled").hint("merge"), F.col("met") == F.col("open"), "left_semi"), "left")
-    few = left.where(F.col("n") <= crowd).groupBy("met").agg(F.array_sort(F.collect_list(F.struct("node", "size", "comp"))).alias("all"))  # crowd at most
-    few = few.select(F.posexplode("all").alias("at", "x"), "all").select("x", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("y")).where("x.comp != y.comp").where(similar_size("x.size", "y.size"))
-    few = kept(few.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "few")
-    near_few = kept(_compared(few, sets, similarity), "near-few")
+    few = left.where(F.col("n") <= crowd).groupBy("met").agg(F.array_sort(F.collect_list(F.struct("node", "comp"))).alias("all"))  # crowd at most
+    few = few.select(F.posexplode("all").alias("at", "x"), "all").select("x", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("y")).where("x.comp != y.comp")
+    few = kept(_possible(few.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), firsts, similarity), "few")
 
     large = left.where(F.col("n") > crowd)
     tied = large.join(counted.select(F.col("met").alias("tie"), "a").hint("merge"), F.col("met") == F.col("tie")).where("node != a").select("a", F.col("node").alias("b"))
-    crowds = kept(components(tied), "crowd-roots").select(F.col("node").alias("r_node"), F.col("root").alias("crowd"))
-    members = large.select("node", "comp", "size").distinct().join(crowds.hint("merge"), F.col("node") == F.col("r_node")).select("crowd", "node", "comp", "size")
-    near_large = kept(_tiles(kept(members, "crowd-members"), sets, similarity, block), "near-large")
+    roots = kept(components(tied), "crowd-roots").select(F.col("node").alias("r_node"), F.col("root").alias("crowd"))
+    members = kept(large.select("node", "comp", "size").distinct().join(roots.hint("merge"), F.col("node") == F.col("r_node")).select("crowd", "node", "comp", "size"), "crowd-members")
+    sets = kept(_sets(texts, few.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct(), shingle), "more-sets")
+    near_few = kept(_compared(few, sets, similarity), "near-few")
+    near_large = kept(_tiles(members, sets, similarity, block), "near-large")
     for df in (firsts, counted, pairs, sets, left, few):
         dropped(df)
     return near.union(near_few).union(near_large)
@@ -271,8 +288,10 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.col(text_col).cast("string")
     documents = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("own"), text.alias("text"))
     every = kept(_nodes(documents, shingle), "every")
+    repeated = not every.groupBy("own").count().where("count > 1").isEmpty()
     nodes = kept(every.groupBy("node").agg(F.min("id").alias("first"), F.min("own").alias("rep")), "nodes")
-    texts = kept(documents.join(nodes.select("node", "rep").hint("merge"), F.col("own") == F.col("rep")).select("node", "text"), "texts")
+    texts = documents.join(nodes.select("node", "rep").hint("merge"), F.col("own") == F.col("rep")).select("node", "text")
+    texts = kept(texts.dropDuplicates(["node"]) if repeated else texts, "texts")
     found = kept(components(links(texts, shingle, similarity, crowd, most_late, block)), "roots")
     dropped(texts)
     rooted = nodes.join(found.withColumnRenamed("node", "f_node").hint("merge"), F.col("node") == F.col("f_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "first")
