@@ -5,30 +5,34 @@ id, or before in the same document, or in an older batch. Words that a removed w
 
 Fingerprints. Of the GRAM-word hashes of a window the smallest (the last of equal ones) is its anchor; equal
 windows have equal anchors, at the same place in them. The windows that share an anchor's place in a document
-are neighbours and form a block. A block's row is the anchor's hash, the hash of the block's words, id and place:
-one row for about seven words instead of one for each word.
-
-Index. Runs are immutable Parquet tables, sorted and range-partitioned by (anchor, block, batch, id, place). A new
-batch is merged with the first rows of all runs, in one sort; neighbours then show
-*   a block that occurred before: all its windows did, so all are removed;
-*   the first of a block whose anchor has other blocks too: some of its windows may have occurred before;
-*   other firsts: none of their windows occurred before.
-Equal rows, which repeated rows of documents give, are one. Rows next to a partition's edge count as of the second kind, so that a very frequent anchor or block may lie
-across any number of partitions. The settled batch's rows become a new run. Beyond FANOUT runs they are compacted to
-one, which keeps first rows only.
-
-Verification. For the second kind, documents are read again and the hashes of their single windows are compared:
-the earliest of each stays, wherever it lies. Hashes are of 128 bits in both steps, and a removal is carried out
+are neighbours and form a block. A block's row is the anchor's hash, the hash of the block's words and its windows (the anchor's place
+in the first, and 40 bits of each window's hash): one row for about eight words instead of one for each word.
+
+Index. A run is an immutable Parquet table of blocks, bucketed and sorted by anchor and block. A new batch's blocks are pre-aggregated,
+shuffled once to the same buckets and sorted; from there each run is merge-joined with them, bucket by bucket: no run is
+shuffled or sorted again, and no older text is read. Blocks that no run has become a new run. Beyond FANOUT runs, these are merged to one,
+again bucket by bucket. Of a batch's blocks
+*   one that a run has, or that a smaller id has, is removed: all its windows occurred before;
+*   the first of a block whose anchor has other blocks, here or in runs, is verified;
+*   other firsts stay: none of their windows occurred before.
+
+Verification. Windows of the second kind, and of runs' blocks at the same anchors, are compared one by one, by anchor, place in it
+and hash (64 and 40 bits); the earliest of each stays. A removal is carried out
 only on a row whose words have the hash in question at that place, so that rows of equal id but other text are
 told apart.
 
+Hot anchors and blocks: a block's copies meet in a partial aggregate; batch rows are joined by sort and merge, whose partitions Spark can
+split. The index keeps a block once.
+
 Null text: no words. Null ids: after all others, in the order of a hash of their texts. Rows of equal id (and null
-ids of equal text) start equally early, and thus do not remove each other; equal rows have equal results.
+ids of equal text) start equally early, and thus do not remove each other; equal rows have equal results. Empty table or batch: no rows, and
+an empty run. Very long texts are taken whole: memory follows the longest text. Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +41,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm._spark import drop_path, kept, scratch, store, table
-from kgspark.llm._words import NOT_SPACE, U, block_hashes, grams, least, long_array, pieces, window_starts, words
+from kgspark.llm._spark import drop_path, kept, scratch, store, table, tidy
+from kgspark.llm._words import NOT_SPACE, U, block_hashes, grams, least, long_array, mix, pieces, window_starts, words
 
-WIDTH, GRAM, FANOUT, BATCHES, HELD = 20, 6, 4, 2, 1 << 20
-FIRST, AGAIN, MIXED = 0, 1, 2
-KEY = ["anchor", "block", "batch", "id", "place"]
-SCHEMA = "anchor long, block long, batch int, id long, place long"
+WIDTH, GRAM, FANOUT, BATCHES, BUCKET_BYTES = 20, 6, 2, 4, 24 << 20
+BITS = 40  # of a window's hash
+ROWS = "anchor long, block long, id long, place long, windows binary, again boolean"
 LAST = (1 << 63) - 1  # null ids stand before it, by 31 bits of their text's hash
 
 
@@ -52,8 +55,8 @@ def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents.select(F.coalesce(own, F.lit(LAST) - F.shiftrightunsigned(F.xxhash64(text), 33)).alias("id"), own.isNull().alias("no_id"), text.alias("text"))
 
 
-def blocks_of(rows: DataFrame, batch: int, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """rows: id, text. A row for each block; place is the first word << 8 | number of words beyond width."""
+def blocks_of(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """rows: id, text. A row for each block; place is the first word << 8 | number of words beyond width; again: the text has had it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -66,83 +69,68 @@ def blocks_of(rows: DataFrame, batch: int, width: int = WIDTH, gram: int = GRAM)
             anchor = least(g, width - gram + 1)[starts]
             doc = w.doc[starts]
             new = np.flatnonzero(np.diff(anchor, prepend=-1) | np.diff(doc, prepend=-1))
-            last = np.append(new[1:], len(starts)) - 1
-            begin, end = starts[new], starts[last] + width
+            size = np.diff(new, append=len(starts))
+            begin, end = starts[new], starts[new + size - 1] + width
             place = (begin - w.first[doc[new]]) << 8 | (end - begin - width)
+            blocks = block_hashes(h, begin, end)
+            first = np.unique(mix(blocks ^ mix(g[anchor[new]])) ^ mix(doc[new].astype(U)), return_index=True)[1]
+            again = np.ones(len(new), bool)
+            again[first] = False
+            # A byte for the anchor's place in the first window, and BITS of each window.
+            nth = np.repeat(np.arange(len(new)), size)
+            data = np.zeros(len(new) + len(starts) * (BITS // 8), np.uint8)
+            ends = np.concatenate([[0], np.cumsum(1 + size * (BITS // 8))])
+            data[ends[:-1]] = anchor[new] - begin
+            at = np.arange(len(starts)) * (BITS // 8) + nth + 1
+            data[at[:, None] + np.arange(BITS // 8)] = block_hashes(h, starts, starts + width).view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
+            windows = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
-                [long_array(g[anchor[new]]), long_array(block_hashes(h, begin, end)), pa.array(np.full(len(new), batch, np.int32)), b.column("id").take(pa.array(doc[new])), pa.array(place)], KEY
+                [long_array(g[anchor[new]]), long_array(blocks), b.column("id").take(pa.array(doc[new])), pa.array(place), windows, pa.array(again)], ["anchor", "block", "id", "place", "windows", "again"]
             )
 
-    return rows.mapInArrow(run, SCHEMA)
-
-
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of a partition. Adds kind: FIRST, AGAIN or MIXED."""
-    held: pa.Table | None = None
-    at_edge = True  # whether the held rows' anchor may go on before them
-
-    def judge(t: pa.Table, first_edge: bool, last_edge: bool) -> pa.RecordBatch:
-        keys = [t.column(c).to_numpy() for c in KEY]
-        once = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
-        if not once.all():  # repeated rows of documents
-            t = t.filter(pa.array(once))
-        anchor, block = keys[0][once], keys[1][once]
-        new_anchor = np.append(True, anchor[1:] != anchor[:-1])
-        new = new_anchor | np.append(True, block[1:] != block[:-1])
-        of = np.cumsum(new_anchor) - 1
-        several = np.bincount(of, new) > 1
-        several[0] |= first_edge
-        several[-1] |= last_edge
-        kind = np.where(new, np.where(several[of], MIXED, FIRST), AGAIN)
-        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in t.itercolumns()), pa.array(kind.astype(np.int32))], [*KEY, "kind"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        t = t if held is None else pa.concat_tables([held, t])
-        anchor = t.column("anchor").to_numpy()
-        cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
-        if cut:
-            yield judge(t.slice(0, cut), at_edge, False)
-            at_edge = False
-        held = t.slice(cut)
-        if held.num_rows > HELD:
-            yield judge(held, True, True)
-            held, at_edge = None, True
-    if held is not None:
-        yield judge(held, True, True)
+    return rows.select("id", "text").mapInArrow(run, ROWS)
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """rows: anchor, id, place, windows. anchor, at (the anchor's place in it), window, id, place of each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("windows")
+            offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+            data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
+            size = (np.diff(offsets) - 1) // (BITS // 8)
+            row = np.repeat(np.arange(len(size)), size)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            at = (offsets[:-1][row] + 1 + nth * (BITS // 8))[:, None] + np.arange(BITS // 8)
+            value = np.zeros((len(row), 8), np.uint8)
+            value[:, : BITS // 8] = data[at]
+            take = pa.array(row)
+            place = (b.column("place").to_numpy()[row] >> 8) + nth << 8
+            in_it = data[offsets[:-1][row]].astype(np.int32) - nth.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("anchor").take(take), pa.array(in_it), pa.array(value.view(np.int64).ravel()), b.column("id").take(take), pa.array(place)], ["anchor", "at", "window", "id", "place"])
+
+    return rows.select("anchor", "id", "place", "windows").mapInArrow(run, "anchor long, at int, window long, id long, place long")
 
 
 class FingerprintIndex:
-    """The runs under a path of the shared folder. One writer at a time; a run appears when its write has succeeded."""
+    """The runs under a path of the shared folder. One writer at a time; a run appears when its write has succeeded. buckets: of a new index; one that is found keeps its own."""
 
-    def __init__(self, spark: SparkSession, path: str, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT):
-        self.spark, self.path, self.width, self.gram, self.fanout = spark, path.rstrip("/"), width, gram, fanout
+    def __init__(self, spark: SparkSession, path: str, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT, buckets: int = 8):
+        self.spark, self.path, self.width, self.gram, self.fanout, self.buckets = spark, path.rstrip("/"), width, gram, fanout, buckets
         self.runs: list[str] = []
+        self.names: list[str] = []  # of tables that are read, until a batch is settled
         self.batch = 0
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+        hadoop = jvm.Path(self.path)
         fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(hadoop):
-            names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("run-") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-            # A compacted run's name says up to which batch it holds; runs that it has taken in may still be there.
-            past = max((int(n[4:10]) for n in names if n.endswith("c")), default=0)
-            self.runs = [f"{self.path}/{n}" for n in names if int(n[4:10]) > past or n == f"run-{past:06d}c"]
+            # run-<batch>-<buckets>, or, of a merged one, run-<batch>c-<buckets>: it holds all up to that batch; runs that it has taken in may still be there.
+            names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("run-") and fs.exists(jvm.Path(s.getPath(), "_SUCCESS")))
+            past = max((int(n[4:10]) for n in names if n[10] == "c"), default=0)
+            self.runs = [f"{self.path}/{n}" for n in names if int(n[4:10]) > past or int(n[4:10]) == past and n[10] == "c"]
             self.batch = max((int(n[4:10]) for n in names), default=0)
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(f"{SCHEMA}, kind int").parquet(path)
-
-    def history(self) -> DataFrame | None:
-        """First rows of all runs."""
-        out = None
-        for path in self.runs:
-            rows = self._read(path).where(F.col("kind") != AGAIN).select(*KEY)
-            out = rows if out is None else out.union(rows)
-        return out
-
-    def _sorted(self, rows: DataFrame, path: str) -> None:
-        store(rows.select(*KEY).repartitionByRange(*KEY).sortWithinPartitions(*KEY).mapInArrow(_judged, f"{SCHEMA}, kind int"), path)
+            self.buckets = int(names[-1].rpartition("-")[2]) if names else buckets
 
     @property
     def scratch(self) -> str:
@@ -150,81 +138,116 @@ class FingerprintIndex:
         return f"{self.path}-batch"
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        store(df, f"{self.scratch}/{name}")
+        store(df, f"{self.scratch}/{name}", "overwrite")
         return self.spark.read.schema(df.schema).parquet(f"{self.scratch}/{name}")
 
-    def merge(self, rows: DataFrame) -> DataFrame:
-        """rows: id, text. Merges a batch with the runs; gives its judged rows, with the older firsts that share an anchor."""
+    def _bucketed(self, df: DataFrame, path: str) -> None:
+        """Writes df, whose rows lie in buckets by anchor."""
+        name = f"kgspark_{uuid.uuid4().hex}"
+        with tidy(self.spark):
+            df.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor", "block").option("path", path).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+
+    def _read(self, path: str, schema: str) -> DataFrame:
+        """A bucketed table. Its files are in order, one for a bucket, so that merging needs neither shuffle nor sort."""
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        name = f"kgspark_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor, block) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def run(self, path: str) -> DataFrame:
+        return self._read(path, "anchor LONG, block LONG, windows BINARY")
+
+    def merge(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """rows: id, text. Merges a batch with the runs. Its blocks; of blocks that are to be removed or verified somewhere: anchor, block, least (the smallest id), known (a run has it), several (its anchor has others); the runs' blocks at the batch's anchors."""
         self.batch += 1
         drop_path(self.spark, self.scratch)  # of a batch that was not settled
-        history = self.history()
-        new = blocks_of(rows.select("id", "text"), self.batch, self.width, self.gram)
-        self._sorted(new if history is None else history.union(new), f"{self.scratch}/merged")
-        return self._read(f"{self.scratch}/merged")
-
-    def settle(self, last: bool = False) -> None:
-        """Ends a batch, when its results are written: its rows become a run (if it isn't the last), its other tables go, and runs are compacted when there are too many."""
-        if not last:
-            path = f"{self.path}/run-{self.batch:06d}"
-            store(self._read(f"{self.scratch}/merged").where(F.col("batch") == self.batch), path)
-            self.runs.append(path)
+        every = self.stored(blocks_of(rows, self.width, self.gram), "blocks")
+        firsts = every.groupBy("anchor", "block", "windows").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+        # Buckets are Spark's own hash partitions; one task writes each.
+        self._bucketed(firsts.repartition(self.buckets, "anchor"), f"{self.scratch}/firsts")
+        firsts = self._firsts()
+        anchors = firsts.groupBy("anchor").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+        met = None
+        for path in self.runs:
+            own = self.run(path).join(anchors.select(F.col("anchor").alias("met")).hint("merge"), F.col("anchor") == F.col("met"), "left_semi")
+            met = own if met is None else met.union(own)
+        if met is None:
+            met = self.spark.createDataFrame([], "anchor long, block long, windows binary")
+        met = self.stored(met, "met")
+        older = met.groupBy(F.col("anchor").alias("o_anchor")).agg(F.min("block").alias("o_low"), F.max("block").alias("o_high"))
+        several = anchors.join(older.hint("merge"), F.col("anchor") == F.col("o_anchor"), "left").where(F.least("low", "o_low") != F.greatest("high", "o_high")).select(F.col("anchor").alias("s_anchor"))
+        known = met.select(F.col("anchor").alias("k_anchor"), F.col("block").alias("k_block")).distinct()
+        marked = firsts.join(known.hint("merge"), (F.col("anchor") == F.col("k_anchor")) & (F.col("block") == F.col("k_block")), "left").join(several.hint("merge"), F.col("anchor") == F.col("s_anchor"), "left")
+        marked = marked.select("anchor", "block", "least", "n", F.col("k_block").isNotNull().alias("known"), F.col("s_anchor").isNotNull().alias("several"))
+        return every, self.stored(marked.where("n > 1 or known or several").drop("n"), "marked"), met
+
+    def _firsts(self) -> DataFrame:
+        return self._read(f"{self.scratch}/firsts", "anchor LONG, block LONG, windows BINARY, least LONG, n LONG")
+
+    def settle(self) -> None:
+        """Ends a batch, when its results are written: its new blocks become a run, its other tables go, and runs are merged when there are too many."""
+        known = self.spark.read.schema("anchor long, block long").parquet(f"{self.scratch}/met").distinct().select(F.col("anchor").alias("k_anchor"), F.col("block").alias("k_block"))
+        new = self._firsts().select("anchor", "block", "windows").join(known.hint("merge"), (F.col("anchor") == F.col("k_anchor")) & (F.col("block") == F.col("k_block")), "left_anti")
+        path = f"{self.path}/run-{self.batch:06d}-{self.buckets}"
+        self._bucketed(new, path)
+        self.runs.append(path)
         drop_path(self.spark, self.scratch)
         if len(self.runs) > self.fanout:
-            old, path = self.runs, f"{self.path}/run-{self.batch:06d}c"
-            rows = self.history()
-            self._sorted(rows, path)
-            self.runs = [path]
-            for p in old:
-                drop_path(self.spark, p)
-
-
-def removals(index: FingerprintIndex, rows: DataFrame, older: DataFrame | None = None) -> DataFrame:
-    """Judges a batch. rows (and older, the batches before): id, text. id, place, check: the blocks to remove; place as in blocks_of."""
-    judged, width = index.merge(rows), index.width
-    batch = F.col("batch") == index.batch
-    again = judged.where(batch & (F.col("kind") == AGAIN)).select("id", "place", F.col("block").alias("check"))
-    mixed = judged.where(F.col("kind") == MIXED).groupBy("id", "batch").agg(F.collect_list(F.struct("place", F.col("block").alias("check"))).alias("asked")).withColumnRenamed("id", "asked_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            w = words(b.column("text"), NOT_SPACE, False)
-            h = w.hashes()
-            begin, end, row = _asked(w, h, b.column("asked"), width)
-            n = end - begin - width + 1
-            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-            of = np.repeat(row, n)
-            one, two = block_hashes(h, at, at + width), grams(h, width)[at]
-            yield pa.RecordBatch.from_arrays(
-                [long_array(one), long_array(two), b.column("batch").take(pa.array(of)), b.column("id").take(pa.array(of)), pa.array(((at - w.first[of]) << 8).astype(np.int64))], KEY
-            )
-
-    texts = (rows if older is None else older.union(rows)).select("id", "text")
-    met = texts.join(mixed, F.col("id") == F.col("asked_id")).select("id", "batch", "text", "asked")
-    windows = index.stored(met.mapInArrow(run, SCHEMA).distinct(), "windows")
-    first = windows.groupBy("anchor", "block").agg(F.min(F.struct("batch", "id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = index.stored(first.select(F.col("anchor").alias("f_anchor"), F.col("block").alias("f_block"), "first"), "firsts")
-    late = windows.where(batch).join(first, (F.col("anchor") == F.col("f_anchor")) & (F.col("block") == F.col("f_block")))
-    late = late.where(F.struct("batch", "id", "place") != F.col("first")).select("id", "place", F.col("anchor").alias("check"))
-    return again.union(late)
+            self.compact()
+        while self.names:
+            self.spark.sql(f"DROP TABLE {self.names.pop()}")
+
+    def compact(self) -> None:
+        """Merges all runs to one. Each block is in one run only."""
+        old, path = self.runs, f"{self.path}/run-{self.batch:06d}c-{self.buckets}"
+        rows = self.run(old[0])
+        for p in old[1:]:
+            other = self.run(p).select(F.col("anchor").alias("b_anchor"), F.col("block").alias("b_block"), F.col("windows").alias("b_windows"))
+            rows = rows.join(other.hint("merge"), (F.col("anchor") == F.col("b_anchor")) & (F.col("block") == F.col("b_block")), "full_outer")
+            rows = rows.select(F.coalesce("anchor", "b_anchor").alias("anchor"), F.coalesce("block", "b_block").alias("block"), F.coalesce("windows", "b_windows").alias("windows"))
+        self._bucketed(rows, path)
+        self.runs = [path]
+        for p in old:
+            drop_path(self.spark, p)
+
+
+def removals(index: FingerprintIndex, rows: DataFrame) -> DataFrame:
+    """Judges a batch. rows: id, text. id, place, check: the blocks to remove; place as in blocks_of, check: BITS of the hash of what stands there."""
+    every, marked, met = index.merge(rows)
+    cut = lambda c: F.col(c).bitwiseAND(F.lit((1 << BITS) - 1)).alias("check")
+    marked = marked.withColumnRenamed("anchor", "m_anchor").withColumnRenamed("block", "m_block")
+    own = every.where("not again").join(marked.hint("merge"), (F.col("anchor") == F.col("m_anchor")) & (F.col("block") == F.col("m_block")))
+    own = index.stored(own.select("anchor", "block", "id", "place", F.when(~F.col("known") & (F.col("id") == F.col("least")), F.col("windows")).alias("windows"), "several"), "own")
+    again = every.where("again").union(own.where("windows is null").select("anchor", "block", "id", "place", "windows", F.lit(True)))
+    new = index.stored(_windows(own.where("several and windows is not null")).distinct(), "windows")
+    anchors = new.select(F.col("anchor").alias("n_anchor")).distinct()
+    old = _windows(met.join(anchors.hint("merge"), F.col("anchor") == F.col("n_anchor"), "left_semi").select("anchor", F.lit(-1 << 63).alias("id"), F.lit(0).cast("long").alias("place"), "windows"))
+    # What runs hold has the least of all ids.
+    first = new.union(old).groupBy(F.col("anchor").alias("f_anchor"), F.col("at").alias("f_at"), F.col("window").alias("f_window")).agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = index.stored(first, "window-firsts")
+    late = new.join(first.hint("merge"), (F.col("anchor") == F.col("f_anchor")) & (F.col("at") == F.col("f_at")) & (F.col("window") == F.col("f_window"))).where(F.struct("id", "place") != F.col("first"))
+    return again.select("id", "place", cut("block")).union(late.select("id", "place", cut("window")))
 
 
 def _asked(w, h: np.ndarray, column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the blocks asked for, those that a row has: first word, end, row."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten()
-    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()) if not column.null_count else [len(x.as_py() or ()) for x in column])
+    row = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
     place, check = flat.field("place").to_numpy(), flat.field("check").to_numpy()
     begin = w.first[row] + (place >> 8)
     end = begin + width + (place & 255)
     there = np.flatnonzero(end <= w.first[row + 1])
-    there = there[block_hashes(h, begin[there], end[there]).view(np.int64) == check[there]]
+    there = there[(block_hashes(h, begin[there], end[there]) & U((1 << BITS) - 1)).view(np.int64) == check[there]]
     return begin[there], end[there], row[there]
 
 
-def dedup(documents: DataFrame, index: FingerprintIndex, older: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256 of each row of a new batch. older: the documents of the batches before."""
+def dedup(documents: DataFrame, index: FingerprintIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256 of each row of a new batch. When this is written, settle the index."""
     rows, width = _rows(documents, id_col, text_col), index.width
-    gone = removals(index, rows, None if older is None else _rows(older, id_col, text_col))
+    gone = removals(index, rows)
     gone = gone.groupBy("id").agg(F.collect_list(F.struct("place", "check")).alias("asked")).withColumnRenamed("id", "asked_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,20 +275,23 @@ def dedup(documents: DataFrame, index: FingerprintIndex, older: DataFrame | None
     return out.withColumn("id", F.when(~F.col("no_id"), F.col("id"))).drop("no_id").withColumnRenamed("id", id_col)
 
 
-def dedup_all(documents: DataFrame, batches: int = BATCHES, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """dedup of all documents, as `batches` batches by ranges of ids."""
+def dedup_all(documents: DataFrame, batches: int = BATCHES, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """dedup of all documents, as `batches` batches by ranges of ids. The index goes at the end."""
     spark = documents.sparkSession
-    index = FingerprintIndex(spark, scratch(spark, "index"), width, gram, fanout)
+    if buckets is None:
+        text_bytes = documents.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        buckets = max(6, -(-text_bytes // BUCKET_BYTES))
+    index = FingerprintIndex(spark, scratch(spark, "index"), width, gram, fanout, buckets)
     at = F.col(id_col).cast("long")
     cuts = sorted(set(documents.select(at.alias("id")).approxQuantile("id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     cuts = [int(c) for c in cuts]
-    out = older = None
+    out = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         own = (F.lit(True) if low is None else F.coalesce(at > low, F.lit(True))) & (F.lit(True) if high is None else F.coalesce(at <= high, F.lit(False)))
-        found = kept(dedup(documents.where(own), index, older, id_col, text_col).drop("kept"), "deduplicated")
-        index.settle(last=high is None)
-        older = documents.where(F.coalesce(at <= high, F.lit(False))) if high is not None else None
+        found = kept(dedup(documents.where(own), index, id_col, text_col).drop("kept"), "deduplicated")
+        index.settle()
         out = found if out is None else out.unionByName(found)
+    drop_path(spark, index.path)
     return out
 
 
