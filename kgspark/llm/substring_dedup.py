@@ -10,8 +10,8 @@ in the first, and 40 bits of each window's hash): one row for about eight words
 
 Index. A run is an immutable Parquet table of blocks, bucketed and sorted by anchor and block. A new batch's blocks are pre-aggregated,
 shuffled once to the same buckets and sorted; from there each run is merge-joined with them, bucket by bucket: no run is
-shuffled or sorted again, and no older text is read. Blocks that no run has become a new run. Beyond FANOUT runs, these are merged to one,
-again bucket by bucket. Of a batch's blocks
+shuffled or sorted again, and no older text is read. They then are a new run as they lie. Beyond FANOUT runs, the two neighbours of the fewest batches are merged to one,
+again bucket by bucket, which has each block once. Of a batch's blocks
 *   one that a run has, or that a smaller id has, is removed: all its windows occurred before;
 *   the first of a block whose anchor has other blocks, here or in runs, is verified;
 *   other firsts stay: none of their windows occurred before.
@@ -22,7 +22,7 @@ only on a row whose words have the hash in question at that place, so that rows
 told apart.
 
 Hot anchors and blocks: a block's copies meet in a partial aggregate; batch rows are joined by sort and merge, whose partitions Spark can
-split. The index keeps a block once.
+split. A run keeps a block once.
 
 Null text: no words. Null ids: after all others, in the order of a hash of their texts. Rows of equal id (and null
 ids of equal text) start equally early, and thus do not remove each other; equal rows have equal results. Empty table or batch: no rows, and
@@ -31,6 +31,7 @@ an empty run. Very long texts are taken whole: memory follows the longest text.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -113,6 +114,12 @@ def _windows(rows: DataFrame) -> DataFrame:
     return rows.select("anchor", "id", "place", "windows").mapInArrow(run, "anchor long, at int, window long, id long, place long")
 
 
+def _span(path: str) -> tuple[int, int]:
+    """The first and the last batch of a run."""
+    _, first, last, _ = path.rpartition("/")[2].split("-")
+    return int(first), int(last)
+
+
 class FingerprintIndex:
     """The runs under a path of the shared folder. One writer at a time; a run appears when its write has succeeded. buckets: of a new index; one that is found keeps its own."""
 
@@ -125,11 +132,11 @@ class FingerprintIndex:
         hadoop = jvm.Path(self.path)
         fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(hadoop):
-            # run-<batch>-<buckets>, or, of a merged one, run-<batch>c-<buckets>: it holds all up to that batch; runs that it has taken in may still be there.
+            # run-<first batch>-<last batch>-<buckets>; runs that a merged one has taken in may still be there.
             names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("run-") and fs.exists(jvm.Path(s.getPath(), "_SUCCESS")))
-            past = max((int(n[4:10]) for n in names if n[10] == "c"), default=0)
-            self.runs = [f"{self.path}/{n}" for n in names if int(n[4:10]) > past or int(n[4:10]) == past and n[10] == "c"]
-            self.batch = max((int(n[4:10]) for n in names), default=0)
+            spans = {n: _span(n) for n in names}
+            self.runs = [f"{self.path}/{n}" for n, (a, z) in spans.items() if not any(x <= a and z <= y and (x, y) != (a, z) for x, y in spans.values())]
+            self.batch = max((z for _, z in spans.values()), default=0)
             self.buckets = int(names[-1].rpartition("-")[2]) if names else buckets
 
     @property
@@ -137,20 +144,33 @@ class FingerprintIndex:
         """Where a batch's own tables are until it is settled."""
         return f"{self.path}-batch"
 
+    @contextlib.contextmanager
+    def merging(self) -> Iterator[None]:
+        """Within it, plans use the runs' order (a bucket is one file), and buckets by anchor serve joins by anchor and block."""
+        names = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+        before = {n: self.spark.conf.get(n) for n in names}
+        for n, v in names.items():
+            self.spark.conf.set(n, v)
+        try:
+            yield
+        finally:
+            for n, v in before.items():
+                self.spark.conf.set(n, v)
+
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        store(df, f"{self.scratch}/{name}", "overwrite")
+        with self.merging():
+            store(df, f"{self.scratch}/{name}", "overwrite")
         return self.spark.read.schema(df.schema).parquet(f"{self.scratch}/{name}")
 
     def _bucketed(self, df: DataFrame, path: str) -> None:
         """Writes df, whose rows lie in buckets by anchor."""
         name = f"kgspark_{uuid.uuid4().hex}"
-        with tidy(self.spark):
+        with tidy(self.spark), self.merging():
             df.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor", "block").option("path", path).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # the files stay
 
     def _read(self, path: str, schema: str) -> DataFrame:
         """A bucketed table. Its files are in order, one for a bucket, so that merging needs neither shuffle nor sort."""
-        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
         name = f"kgspark_{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor, block) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         self.names.append(name)
@@ -167,7 +187,7 @@ class FingerprintIndex:
         firsts = every.groupBy("anchor", "block", "windows").agg(F.min("id").alias("least"), F.count("*").alias("n"))
         # Buckets are Spark's own hash partitions; one task writes each.
         self._bucketed(firsts.repartition(self.buckets, "anchor"), f"{self.scratch}/firsts")
-        firsts = self._firsts()
+        firsts = self.firsts()
         anchors = firsts.groupBy("anchor").agg(F.min("block").alias("low"), F.max("block").alias("high"))
         met = None
         for path in self.runs:
@@ -183,34 +203,36 @@ class FingerprintIndex:
         marked = marked.select("anchor", "block", "least", "n", F.col("k_block").isNotNull().alias("known"), F.col("s_anchor").isNotNull().alias("several"))
         return every, self.stored(marked.where("n > 1 or known or several").drop("n"), "marked"), met
 
-    def _firsts(self) -> DataFrame:
+    def firsts(self) -> DataFrame:
+        """The batch's blocks, each once, with the smallest id that has it and how many rows have."""
         return self._read(f"{self.scratch}/firsts", "anchor LONG, block LONG, windows BINARY, least LONG, n LONG")
 
     def settle(self) -> None:
-        """Ends a batch, when its results are written: its new blocks become a run, its other tables go, and runs are merged when there are too many."""
-        known = self.spark.read.schema("anchor long, block long").parquet(f"{self.scratch}/met").distinct().select(F.col("anchor").alias("k_anchor"), F.col("block").alias("k_block"))
-        new = self._firsts().select("anchor", "block", "windows").join(known.hint("merge"), (F.col("anchor") == F.col("k_anchor")) & (F.col("block") == F.col("k_block")), "left_anti")
-        path = f"{self.path}/run-{self.batch:06d}-{self.buckets}"
-        self._bucketed(new, path)
+        """Ends a batch, when its results are written: its blocks become a run, its other tables go, and runs are merged when there are too many."""
+        path = f"{self.path}/run-{self.batch:06d}-{self.batch:06d}-{self.buckets}"
+        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        fs = jvm.Path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(jvm.Path(self.path))
+        if not fs.rename(jvm.Path(f"{self.scratch}/firsts"), jvm.Path(path)):
+            raise OSError(f"cannot move a batch's blocks to {path}")
         self.runs.append(path)
         drop_path(self.spark, self.scratch)
-        if len(self.runs) > self.fanout:
+        while len(self.runs) > self.fanout:
             self.compact()
         while self.names:
             self.spark.sql(f"DROP TABLE {self.names.pop()}")
 
     def compact(self) -> None:
-        """Merges all runs to one. Each block is in one run only."""
-        old, path = self.runs, f"{self.path}/run-{self.batch:06d}c-{self.buckets}"
-        rows = self.run(old[0])
-        for p in old[1:]:
-            other = self.run(p).select(F.col("anchor").alias("b_anchor"), F.col("block").alias("b_block"), F.col("windows").alias("b_windows"))
-            rows = rows.join(other.hint("merge"), (F.col("anchor") == F.col("b_anchor")) & (F.col("block") == F.col("b_block")), "full_outer")
-            rows = rows.select(F.coalesce("anchor", "b_anchor").alias("anchor"), F.coalesce("block", "b_block").alias("block"), F.coalesce("windows", "b_windows").alias("windows"))
-        self._bucketed(rows, path)
-        self.runs = [path]
-        for p in old:
+        """Merges two neighbouring runs, those of the fewest batches, to one, which has each of their blocks once."""
+        spans = [_span(p) for p in self.runs]
+        i = min(range(len(spans) - 1), key=lambda i: spans[i + 1][1] - spans[i][0])
+        path = f"{self.path}/run-{spans[i][0]:06d}-{spans[i + 1][1]:06d}-{self.buckets}"
+        one, two = self.run(self.runs[i]), self.run(self.runs[i + 1]).select(F.col("anchor").alias("b_anchor"), F.col("block").alias("b_block"), F.col("windows").alias("b_windows"))
+        rows = one.join(two.hint("merge"), (F.col("anchor") == F.col("b_anchor")) & (F.col("block") == F.col("b_block")), "full_outer")
+        self._bucketed(rows.select(F.coalesce("anchor", "b_anchor").alias("anchor"), F.coalesce("block", "b_block").alias("block"), F.coalesce("windows", "b_windows").alias("windows")), path)
+        for p in self.runs[i : i + 2]:
             drop_path(self.spark, p)
+        self.runs[i : i + 2] = [path]
 
 
 def removals(index: FingerprintIndex, rows: DataFrame) -> DataFrame:
@@ -218,10 +240,12 @@ def removals(index: FingerprintIndex, rows: DataFrame) -> DataFrame:
     every, marked, met = index.merge(rows)
     cut = lambda c: F.col(c).bitwiseAND(F.lit((1 << BITS) - 1)).alias("check")
     marked = marked.withColumnRenamed("anchor", "m_anchor").withColumnRenamed("block", "m_block")
-    own = every.where("not again").join(marked.hint("merge"), (F.col("anchor") == F.col("m_anchor")) & (F.col("block") == F.col("m_block")))
-    own = index.stored(own.select("anchor", "block", "id", "place", F.when(~F.col("known") & (F.col("id") == F.col("least")), F.col("windows")).alias("windows"), "several"), "own")
-    again = every.where("again").union(own.where("windows is null").select("anchor", "block", "id", "place", "windows", F.lit(True)))
-    new = index.stored(_windows(own.where("several and windows is not null")).distinct(), "windows")
+    own = every.where("not again").select("anchor", "block", "id", "place").join(marked.hint("merge"), (F.col("anchor") == F.col("m_anchor")) & (F.col("block") == F.col("m_block")))
+    own = index.stored(own.select("anchor", "block", "id", "place", (~F.col("known") & (F.col("id") == F.col("least"))).alias("first"), "several"), "own")
+    again = every.where("again").select("id", "place", "block").union(own.where("not first").select("id", "place", "block"))
+    asked = own.where("several and first").select(F.col("anchor").alias("a_anchor"), F.col("block").alias("a_block"), "id", "place")
+    asked = index.firsts().join(asked.hint("merge"), (F.col("anchor") == F.col("a_anchor")) & (F.col("block") == F.col("a_block")))
+    new = index.stored(_windows(asked.select("anchor", "id", "place", "windows")).distinct(), "windows")
     anchors = new.select(F.col("anchor").alias("n_anchor")).distinct()
     old = _windows(met.join(anchors.hint("merge"), F.col("anchor") == F.col("n_anchor"), "left_semi").select("anchor", F.lit(-1 << 63).alias("id"), F.lit(0).cast("long").alias("place"), "windows"))
     # What runs hold has the least of all ids.
