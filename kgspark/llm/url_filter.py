@@ -1,11 +1,13 @@
 """URL filters: rules by host and path, and logistic regression on hashed character n-grams for the rest.
 
-The regression is trained from a small table of labelled URLs (SEED_URLS, or one's own rows of url and block);
+The regression is trained from a small table of labelled URLs (SEED_URLS, or one's own rows of url and block), which is made of
+two lists of words and takes nothing from any table it is applied to;
 features are the 3- to 5-grams of bytes of the marked host and path, hashed to 2**BITS weights. The bias is fixed at
-PRIOR, so that what resembles nothing in the table is allowed.
+PRIOR, so that what resembles nothing in the table is allowed. What the table has no words for, it does not find.
 
 Null url, or one without '://': host and path are empty, no rule fits, and the verdict is that of the
-regression on empty text. Rows come back as they are.
+regression on empty text. Rows come back as they are, repeated ones and null ids too. Empty table: no rows. Of rules of equal
+length the last in order of text wins. Very long urls are taken whole. Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm._spark import table
 from kgspark.llm._words import U, _bytes, buffer, mix, pieces, prefix, spans
 
-BITS, SIZES, EPOCHS, RATE, RIDGE, PRIOR = 16, (3, 4, 5), 1200, 4.0, 3e-5, -0.5
+BITS, SIZES, EPOCHS, RATE, RIDGE, PRIOR = 18, (3, 4, 5), 600, 8.0, 1e-5, -0.5
 
 #: Verdict, host, path. The longest that fits wins.
 RULES = (
@@ -30,31 +33,43 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: The labelled table is made of these: sites that are to be blocked and sites that are not, under the same kinds of
-#: addresses, so that only names tell them apart.
-BLOCKED_SITES = """spam-farm spam-links casino-royal casino-bonus best-casino sport-bets bets-live free-spins ads-server click-ads track-ads
-adult-video adult-chat xxx-videos hot-singles pills-shop diet-pills viagra-online free-prize win-cash win-free-phone fast-cash-loan replica-watches
-crack-keygen torrent-warez verify-account-login paypa1-secure seo-links link-farm click-here-prize free-money cheap-meds""".split()
-OTHER_SITES = """news wiki library museum university science weather recipes forum archive history
-school garden music travel docs lorem ipsum dolor consectetur tempor labore magna
-aliqua enim minim veniam nostrud ullamco laboris open-data city-hall
-theory harbor meadow lantern orchard station hearing weaving reading painting theatre northern weather-then others within nation
-tension station-house thistle thesis shelter wheat father these those there inner outer onion erosion""".split()
-PATHS = """/en/12 /fr/907 /de/44 /es/381 /en/2210 /fr/65/ /de/733.html /es/18 / /index.html /about /2024/05/post /page/3 /tag/a /search /en/676
-/fr/1204.html /de/9 /es/5/ /en/871 /fr/32 /de/415.html /es/276 /en/40110 /fr/8 /de/1207 /es/640 /guide/intro /course/12 /album/7 /en/ /home""".split()
-
-
-def _seed_urls() -> tuple[tuple[str, int], ...]:
+#: The labelled table is made of names of these, from general knowledge of what filter lists are about: gambling, drugs, adult
+#: content, fraud, pirated goods, advertising and malware; and of what other sites are about.
+UNWANTED = """casino poker roulette blackjack jackpot slots betting bets bingo lottery gambling wager spins bookmaker
+viagra cialis pharmacy pills steroids weightloss botox kratom vape
+porn sex xxx adult escort nude fetish webcam erotic milf hookup singles dating
+payday loans quickcash getrich forex bitcoin crypto investing profit moneymaker earnings giveaway prize winner freegift lucky
+followers likes traffic backlinks seo linkfarm spam clickbait popup adserver ads banner tracker tracking affiliate doubleclick
+torrent warez crack keygen serial nulled cheats hacked pirate replica fake counterfeit knockoff
+phishing malware virus trojan login-verify account-update secure-signin password-reset unlocker hacktool cheap discount""".split()
+HARMLESS = """news library museum university school college science physics biology chemistry history geography weather climate recipes cooking garden
+forum community church charity council parliament court police hospital clinic health dentist nursing music concert theatre cinema gallery painting
+poetry novel writing reading language grammar dictionary travel railway airport hotel hostel camping hiking mountain river ocean island harbour
+football cricket tennis cycling running swimming chess puzzle knitting pottery woodwork bakery coffee restaurant farm orchard vineyard forest
+engineering software hardware compiler database network robotics astronomy telescope satellite energy solar battery bridge architecture furniture
+economy finance insurance bank accounting law tax pension jobs careers training teacher student kindergarten nature wildlife birds fishing
+radio television podcast magazine journal archive encyclopedia map atlas calendar photo camera video design fashion shoes jewellery""".split()
+#: Words and marks that go with either.
+FILLERS = "online best free club shop world zone live top my the web city portal hub info new daily 24 365".split()
+JOINTS = ("-", "", "-")
+PATHS = """/ /index.html /about /home /en/ /fr/ /de/ /es/ /en/12 /fr/907 /de/44 /es/381 /2024/05/post /page/3 /tag/a /search /contact /guide/intro /album/7 /item/5521""".split()
+
+
+def seed_urls(unwanted: Iterable[str] = UNWANTED, harmless: Iterable[str] = HARMLESS) -> tuple[tuple[str, int], ...]:
+    """Of each word its bare name and four with a filler, before or after it; addresses are alike for both kinds."""
     out = []
-    for block, sites in ((1, BLOCKED_SITES), (0, OTHER_SITES)):
-        for turn in (0, 7, 18):
-            for i, site in enumerate(sites):
-                scheme, front, end = ("http", "https")[(i + turn) % 2], ("", "www.", "m.", "blog.")[(i + turn) // 2 % 4], ("com", "net", "org")[(i + turn) % 3]
-                out.append((f"{scheme}://{front}{site}.example.{end}{PATHS[(i + turn) % len(PATHS)]}", block))
+    for block, names in ((1, unwanted), (0, harmless)):
+        for i, name in enumerate(names):
+            for turn in range(5):
+                n = 7 * i + 3 * turn
+                filler, joint = FILLERS[n % len(FILLERS)], JOINTS[n % len(JOINTS)]
+                site = name if turn == 0 else name + joint + filler if turn % 2 else filler + joint + name
+                scheme, front, end = ("http", "https")[n % 2], ("", "www.", "m.", "blog.")[n // 2 % 4], ("com", "net", "org", "example.com", "example.org")[n % 5]
+                out.append((f"{scheme}://{front}{site}.{end}{PATHS[n % len(PATHS)]}", block))
     return tuple(out)
 
 
-SEED_URLS = _seed_urls()
+SEED_URLS = seed_urls()
 
 
 def host_of(url: Column) -> Column:
@@ -142,10 +157,4 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
-    return url_filter(table_of(spark, sf_dir))
-
-
-def table_of(spark, sf_dir: str) -> DataFrame:
-    from kgspark.llm._spark import table
-
-    return table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter(table(spark, sf_dir, "pages"))
