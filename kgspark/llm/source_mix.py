@@ -10,14 +10,16 @@
 3.  Splitting tree. The blocks of each source are exact quotas at the root. Each node halves its number of
     blocks; how many of each source go left is a draw from the multivariate hypergeometric distribution, one
     source after another, by inversion with a seeded hash as the random number. The leaves are output shards.
-4.  A source's blocks in permuted order go to the shards by their quotas. mixed() then shuffles each shard
-    by a hash.
+4.  A source's blocks in permuted order go to the shards by their quotas: what no shard draws is not taken. mixed() has each
+    document once for each block of it that a shard draws, with the words that it takes, and shuffles each shard by a hash. A document's `taken` is
+    the sum of these.
 
-Only tables of sources x cells are windowed, never all documents of a source. Sources are few (their table
-is broadcast if it has no more than MOST_SOURCES rows; else joined by shuffle).
+Only tables of sources x cells are windowed, never all documents of a source. Tables of sources and blocks are broadcast if they have no more than
+MOST_ROWS rows (of a hundred bytes); else they are joined by shuffle. The tree's nodes hold all sources' quotas, so sources must be few: some thousands.
 
 Null text: size 0. Null source: a source of its own, the last. Sizes of 0 take nothing. Null and repeated ids
-are permitted: texts tell them apart, and equal rows share a place. Equal input gives equal output.
+are permitted: rows are carried along, and equal rows share a place. Ties in the order of places go by id, then size. Equal input gives equal output. Empty table: no rows.
+Long texts: their words are counted, whole, and nothing grows with them. Names of other columns may clash; they are kept in a struct.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from kgspark.llm._spark import kept, table
 
 WEIGHTS, SHARE, MOST, SHARD_BITS, SEED = (5, 2, 1), 1.5, 2, 4, 17
-CELL_BITS, MOST_SOURCES = 8, 100_000
+CELL_BITS, MOST_ROWS = 8, 100_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -87,25 +89,26 @@ def splitting_tree(quotas: DataFrame, bits: int = SHARD_BITS, seed: int = SEED)
     return nodes.select(F.col("node").cast("int").alias("shard"), F.explode("q").alias("x")).select("shard", "x.idx", "x.quota")
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, shard_bits: int = SHARD_BITS, seed: int = SEED) -> DataFrame:
-    """id_col, source, size, source_size, target, taken, shards (array: the shard of each pass that takes the row) of each row."""
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, shard_bits: int = SHARD_BITS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+    """row (a number of its own), id_col, source, size, source_size, target, draws (array of shard, nth, words: the blocks that take the row) of each row; with keep, a struct `kept` of these columns."""
     # One expression for each bit field of the permutation: cell, finer cell, the rest.
     place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     bits = lambda skip: F.shiftrightunsigned("place", 64 - skip - CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1).cast("int")
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = kept(documents.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), place.alias("place")), "mix-sizes")
+    also = [] if keep is None else [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")]
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), place.alias("place"), *also)
+    rows = kept(rows, "mix-sizes")
     rows = rows.withColumn("cell", bits(0)).withColumn("fine", bits(CELL_BITS))
     cells = kept(rows.groupBy("source", "cell").agg(F.sum("size").alias("words")), "mix-cells")
     goal = F.floor(F.col("target") + 0.5).cast("long")
     sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
     sources = kept(sources.withColumn("rest", goal - F.col("passes") * F.col("source_size")), "mix-sources")
-    few = sources.count() <= MOST_SOURCES
-    small = F.broadcast if few else lambda df: df
+    few = sources.count() <= MOST_ROWS  # as are the edges: one a source at most
 
     def with_sources(df: DataFrame, other: DataFrame, how: str = "left") -> DataFrame:
         other = other.withColumnRenamed("source", "other_source")
-        return df.join(small(other), F.col("source").eqNullSafe(F.col("other_source")), how).drop("other_source")
+        return df.join(F.broadcast(other) if few else other, F.col("source").eqNullSafe(F.col("other_source")), how).drop("other_source")
 
     # The cell, the finer cell and the document at which the rest is filled.
     rest = sources.select("source", "rest").where("rest > 0")
@@ -122,7 +125,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     before = F.sum("size").over(Window.partitionBy("source").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1))
     last = sized.where(at_edge).withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("edge_rest") - F.coalesce(before, F.lit(0)))))
     rest_of = sized.where(~F.coalesce(at_edge, F.lit(False))).withColumn("extra", F.when(below, F.col("size")).otherwise(0))
-    out = last.unionByName(rest_of).withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
+    out = last.unionByName(rest_of)
 
     # Blocks, their quotas and their shards.
     blocks = with_sources(with_sources(cells.where("words > 0"), sources), edge.drop("rest"))
@@ -136,21 +139,23 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     placed = blocks.join(leaves, (F.col("idx") == F.col("leaf_idx")) & (F.col("rank") > F.col("above")) & (F.col("rank") <= F.col("upto")))
     placed = placed.groupBy("source", F.col("cell").alias("block_cell")).agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("placed")).withColumnRenamed("source", "block_source")
     placed = kept(placed, "mix-blocks")
-    out = out.join(small(placed), F.col("source").eqNullSafe(F.col("block_source")) & (F.col("cell") == F.col("block_cell")), "left")
-    used = F.filter("placed", lambda x: (x["pass"] <= F.col("passes")) & (F.col("size") > 0) | (F.col("extra") > 0))
-    shards = F.coalesce(F.transform(used, lambda x: x["shard"]), F.array().cast("array<int>"))
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", shards.alias("shards"))
+    out = out.join(F.broadcast(placed) if placed.count() <= MOST_ROWS else placed, F.col("source").eqNullSafe(F.col("block_source")) & (F.col("cell") == F.col("block_cell")), "left")
+    # What a drawn block has of the row: in whole passes all its words, in the last one those that fill the rest.
+    words = lambda x: F.when(x["pass"] <= F.col("passes"), F.col("size")).otherwise(F.col("extra"))
+    draws = F.filter(F.transform("placed", lambda x: F.struct(x["shard"].alias("shard"), x["pass"].alias("nth"), words(x).cast("long").alias("words"))), lambda x: x["words"] > 0)
+    none = F.array().cast("array<struct<shard:int,nth:bigint,words:bigint>>")
+    return out.select("row", F.col("id").alias(id_col), "source", "size", "source_size", "target", F.coalesce(draws, none).alias("draws"), *(["kept"] if keep is not None else []))
 
 
-def mixed(documents: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """documents once for each pass that takes them, with shard and words (how many are taken in that pass), each shard in a shuffled order."""
-    a = plan.select(F.col(id_col).alias("plan_id"), "size", "taken", F.posexplode("shards").alias("nth", "shard"))
-    part = F.least(F.col("size"), F.col("taken") - F.col("nth") * F.col("size"))
-    out = documents.join(a.select("plan_id", "shard", "nth", part.alias("words")), F.col(id_col) == F.col("plan_id")).drop("plan_id")
-    order: Column = F.xxhash64(F.lit(seed + 1), F.col(id_col), "nth")
-    return out.repartition("shard", order % 64).sortWithinPartitions("shard", order).drop("nth")
+def mixed(plan: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """The plan's rows once for each block that takes them, with shard, nth (the pass) and words (how many it takes) instead of draws; each shard in a shuffled order."""
+    out = plan.select(*(c for c in plan.columns if c != "draws"), F.explode("draws").alias("draw")).select("*", "draw.*").drop("draw")
+    order: Column = F.xxhash64(F.lit(seed + 1), F.col(id_col), "size", "nth")
+    return out.repartition("shard", F.pmod(order, F.lit(64))).sortWithinPartitions("shard", order)
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.array_join(out["shards"].cast("array<string>"), ",").alias("shards"))
+    plan = kept(mix(table(spark, sf_dir, "documents")), "mix-plan")
+    drawn = mixed(plan).groupBy(F.col("row").alias("drawn")).agg(F.sum("words").alias("taken"), F.array_join(F.sort_array(F.collect_list(F.struct("nth", F.col("shard").cast("string").alias("shard"))))["shard"], ",").alias("shards"))
+    out = plan.join(drawn.hint("merge"), F.col("row") == F.col("drawn"), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))

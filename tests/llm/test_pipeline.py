@@ -89,8 +89,8 @@ def test_stages(spark, corpus):
                 sizes[r.source] += len(re.findall(NOT_SPACE, r.text or ""))
             target, taken = brute_targets(sizes), Counter()
             for r in after:
-                assert 0 < r.taken <= 2 * r["size"]
-                taken[r.source] += r.taken
+                assert 0 < r.words <= r["size"] and r.taken <= 2 * r["size"]
+                taken[r.source] += r.words
             assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
             assert {(r.doc_id, r.text) for r in after} <= {(r.doc_id, r.text) for r in before}
         docs = made
