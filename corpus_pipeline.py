@@ -58,12 +58,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target, taken (words) and shards (the shard of each pass)."""
+    """The mix: each document once for each block of it that a shard draws, in the shards' shuffled order, with size, source_size, target, taken (its words in all shards), shard, nth (the pass) and words (those of this row)."""
     keyed = docs.withColumn(KEY, _key())
-    plan = source_mix.mix(keyed.select(KEY, "text", "source"), KEY)
-    plan = plan.where("taken > 0").dropDuplicates([KEY]).select(F.col(KEY).alias("plan_key"), "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
-    own = [c for c in docs.columns if c not in plan.columns]
-    return keyed.join(kept(plan, "plan").hint("merge"), F.col(KEY) == F.col("plan_key")).select(*own, *(c for c in plan.columns if c != "plan_key"))
+    plan = source_mix.mix(keyed, KEY, keep=docs.columns)
+    plan = kept(plan.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])).drop("row", "source"), "plan")
+    added = ["size", "source_size", "target", "taken", "shard", "nth", "words"]
+    rows = source_mix.mixed(plan, KEY)
+    return rows.select(*(F.col("kept")[c].alias(c) for c in docs.columns if c not in added), *added)
 
 
 STAGES = [
