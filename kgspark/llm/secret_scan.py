@@ -7,16 +7,18 @@ this rule version the ledger lacks, each once, appends their findings, and joins
 Rules are patterns; matches are leftmost and do not overlap, per kind. Of `assign`, the value (group 2) must
 have 6 characters. A greedy run with a least length equals all greedy runs without the short ones, so the
 lengths of `access` and `hex` stand in their patterns. Places are code points: the pieces between matches
-(split) and the matches (regexp_extract_all) alternate, and their lengths add up.
+(split) and the matches (regexp_extract_all) alternate, and their lengths add up, as running sums over rows. Time and memory are
+linear in a text's length and its number of matches.
 
-Null text: as an empty one, no findings. Equal rows all get the findings; null ids are kept.
+Null text: as an empty one, no findings. Equal rows all get the findings; null ids are kept. Empty table: no rows, and nothing to the
+ledger. Spans that start together are in the order of the rules. Very long texts are scanned whole. Names of other columns may clash; redact keeps them in a struct.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm._spark import scratch, store, table
@@ -41,15 +43,17 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(rank: int, kind: str, pattern: str, valued: bool, text: str = "text") -> str:
-    """SQL: the spans of a kind in a text, as an array of start, rank, kind, end."""
+FOUND = "array<struct<start:int,rank:int,kind:string,end:int,from:int,to:int,before:int>>"
+
+
+def _matches(rank: int, kind: str, pattern: str, valued: bool, text: str = "text") -> str:
+    """SQL: the matches of a kind in a text, as an array of rank, kind, nth, the lengths of the gap before it and of itself (in code points and bytes), and whether it counts."""
     p = _quoted(pattern)
-    made = f"named_struct('start', acc.at + x.gap, 'rank', {rank}, 'kind', '{kind}', 'end', acc.at + x.gap + length(x.hit))"
-    out = "cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)"
     ok = f"x.hit is not null and length(regexp_extract(x.hit, {p}, 2)) >= 6" if valued else "x.hit is not null"
-    parts = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, hit) -> named_struct('gap', length(gap), 'hit', hit))"
-    step = f"named_struct('at', acc.at + x.gap + coalesce(length(x.hit), 0), 'out', if({ok}, concat(acc.out, array({made})), acc.out))"
-    return f"if(rlike({text}, {p}), aggregate({parts}, named_struct('at', 0, 'out', {out}), (acc, x) -> {step}, acc -> acc.out), {out})"
+    parts = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, hit) -> named_struct('gap', gap, 'hit', hit))"
+    made = f"named_struct('rank', {rank}, 'kind', '{kind}', 'nth', i, 'gap', length(x.gap), 'hit', coalesce(length(x.hit), 0), 'gap_bytes', octet_length(x.gap), 'hit_bytes', coalesce(octet_length(x.hit), 0), 'ok', {ok})"
+    none = "cast(array() as array<struct<rank:int,kind:string,nth:int,gap:int,hit:int,gap_bytes:int,hit_bytes:int,ok:boolean>>)"
+    return f"if(rlike({text}, {p}), transform({parts}, (x, i) -> {made}), {none})"
 
 
 def _said(spans: str) -> str:
@@ -57,9 +61,17 @@ def _said(spans: str) -> str:
 
 
 def findings(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """blobs: blob, text. Gives blob and its spans in order."""
-    every = ", ".join(_spans(i, *rule) for i, rule in enumerate(rules))
-    return blobs.select("blob", F.expr(f"array_sort(concat({every}))").alias("found"))
+    """blobs: blob (each once), text. Gives blob and found: its spans in order, in code points (start, end) and bytes (from, to; before: where the spans before it end)."""
+    every = ", ".join(_matches(i, *rule) for i, rule in enumerate(rules))
+    rows = blobs.select("blob", F.explode_outer(F.expr(f"concat({every})")).alias("x")).select("blob", "x.*")
+    # Running sums over a blob's matches, as rows: linear, however many there are. Blobs are dealt by their hash already.
+    past = Window.partitionBy("blob", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(past).cast("int")).withColumn("to", F.sum(F.col("gap_bytes") + F.col("hit_bytes")).over(past).cast("int"))
+    rows = rows.select("blob", "rank", "kind", "ok", (F.col("end") - F.col("hit")).alias("start"), "end", (F.col("to") - F.col("hit_bytes")).alias("from"), "to")
+    earlier = Window.partitionBy("blob").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.max(F.when(F.col("ok"), F.col("to"))).over(earlier), F.lit(0)))
+    span = F.when(F.col("ok"), F.struct("start", "rank", "kind", "end", "from", "to", "before"))
+    return rows.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found"))  # empty where nothing counts
 
 
 def scan(documents: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
@@ -104,16 +116,16 @@ def ledger_rows(spark, path: str) -> DataFrame | None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return None
-    return spark.read.schema("blob string, found array<struct<start:int,rank:int,kind:string,end:int>>, rules string").parquet(path)
+    return spark.read.schema(f"blob string, found {FOUND}, rules string").parquet(path)
 
 
 def redacted(text: str, found: str, mark: str = "[REDACTED]"):
-    """Of columns by name: a text without its spans; spans that overlap are one. Code points."""
-    step = (
-        "named_struct('at', greatest(acc.at, x.end), 'out', if(x.start >= acc.at, "
-        f"concat(acc.out, substring({text}, acc.at + 1, x.start - acc.at), '{mark}'), acc.out))"
-    )
-    return F.expr(f"if(size({found}) = 0, {text}, aggregate({found}, named_struct('at', 0, 'out', ''), (acc, x) -> {step}, acc -> concat(acc.out, substring({text}, acc.at + 1))))")
+    """Of columns by name: a text without its spans; spans that overlap are one. Pieces are cut by bytes, so that each is reached at once."""
+    cut = lambda begin, size: f"cast(substring(b, {begin} + 1, {size}) as string)"
+    pieces = f"transform({found}, x -> if(x.from >= x.before, concat({cut('x.before', 'x.from - x.before')}, '{mark}'), ''))"
+    last = f"aggregate({found}, 0, (a, x) -> greatest(a, x.to))"
+    tail = f"transform(array({last}), z -> {cut('z', 'octet_length(b)')})[0]"
+    return F.expr(f"if(size({found}) = 0, {text}, transform(array(cast({text} as binary)), b -> concat(array_join({pieces}, ''), {tail}))[0])")
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
