@@ -9,11 +9,13 @@ of all its words; documents are asked for such lengths as the items have.
 Fingerprints of items and documents are joined. While items have at most MOST_PRINTS distinct ones (8 bytes
 each), their sorted hashes are broadcast and documents are asked in the scan; beyond it the documents' distinct
 fingerprints are joined by shuffle first. Hits are extended to their windows, which are compared word by word
-with the items' windows (broadcast up to MOST_WINDOWS rows, else joined by shuffle), and windows that meet are
-united to spans.
+with the items' windows (broadcast up to MOST_BYTES of words, else joined by shuffle), and windows that meet are
+united to spans, by running maxima over rows. Which items have a window is a table of its own, one row for each, and met by shuffle only with windows that were
+hit, once for each document: a window that all items share makes no large row, and no more rows than the result has ids.
 
 Null or empty text: no words, no hits. Items of null id or without words take no part; items with equal id are
-one item of several texts. Equal rows and null ids of documents each have a row of their own.
+one item of several texts. Equal rows and null ids of documents each have a row of their own. Ties of gram hashes go to the last. Empty documents: no
+rows; empty items: no hits. Very long texts are taken whole: memory follows the longest text. Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm._spark import kept, table
 from kgspark.llm._words import ALNUM, U, grams, least, long_array, mix, pieces, window_starts, words
 
-SPAN, GRAM, MOST_PRINTS, MOST_WINDOWS = 10, 5, 1_000_000, 100_000
+SPAN, GRAM, MOST_PRINTS, MOST_BYTES = 10, 5, 1_000_000, 8 << 20
 
 
 def windows(texts: pa.Array, span: int, gram: int, short: tuple[int, ...], whole: bool):
@@ -48,7 +50,7 @@ def windows(texts: pa.Array, span: int, gram: int, short: tuple[int, ...], whole
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """width, print, words, items (sorted texts of ids): the distinct windows of all items."""
+    """id (as text), width, print, words: the distinct windows of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -59,8 +61,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, span: int = SPAN,
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc[at])), pa.array(np.full(len(at), width, np.int32)), long_array(prints), pa.array(text, pa.string())], ["id", "width", "print", "words"])
 
     rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    made = rows.mapInArrow(run, "id string, width int, print long, words string")
-    return made.groupBy("width", "print", "words").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    return rows.mapInArrow(run, "id string, width int, print long, words string").distinct()
 
 
 def document_windows(rows: DataFrame, span: int, gram: int, short: tuple[int, ...], prints: np.ndarray | None) -> DataFrame:
@@ -104,30 +105,38 @@ def document_prints(rows: DataFrame, span: int, gram: int, short: tuple[int, ...
     return rows.mapInArrow(run, "row long, print long")
 
 
-def contamination(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM, most_prints: int = MOST_PRINTS, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def contamination(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM, most_prints: int = MOST_PRINTS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """id_col, n_words, hit_spans (array of first word, last word + 1; apart and in order), items (sorted texts of ids) of each row."""
-    known = kept(item_windows(items, item_col, item_text_col, span, gram), "windows")
+    every = kept(item_windows(items, item_col, item_text_col, span, gram), "item-windows")
+    known = kept(every.select("width", "print", "words").distinct(), "windows")
     short = tuple(r[0] for r in known.where(F.col("width") < span).select("width").distinct().collect())  # fewer than span numbers
-    # A scan's rows keep their numbers when a task is run again.
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints, n_windows = known.select("print").distinct(), known.count()
+    prints = known.select("print").distinct()
+    n_windows, n_bytes = known.agg(F.count("*"), F.sum(F.octet_length("words") + 32)).first()
     if n_windows <= most_prints:
         asked = np.sort(np.array([r[0] for r in prints.collect()], np.int64))  # at most most_prints numbers
         found = document_windows(rows, span, gram, short, asked)
     else:
-        met = document_prints(rows, span, gram, short).join(kept(prints, "prints"), "print").groupBy("row").agg(F.collect_list("print").alias("asked"))
-        found = document_windows(rows.join(met, "row", "left"), span, gram, short, None)
-    known = known.select(F.col("width").alias("k_width"), F.col("print").alias("k_print"), F.col("words").alias("k_words"), F.col("items").alias("k_items"))
-    if n_windows <= most_windows:
-        known = F.broadcast(known)
-    hits = found.select("row", "id", "n_words", F.explode_outer("hits").alias("h")).join(known, (F.col("h.width") == F.col("k_width")) & (F.col("h.print") == F.col("k_print")) & (F.col("h.words") == F.col("k_words")), "left")
-    span_of = F.when(F.col("k_items").isNotNull(), F.struct(F.col("h.start").alias("start"), (F.col("h.start") + F.col("h.width")).alias("end")))
-    by_row = hits.groupBy("row", "id", "n_words").agg(F.array_sort(F.collect_set(span_of)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("k_items")))).alias("items"))
-    grow = (
-        "aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).end >= x.start, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))))"
-    )
-    return by_row.select(F.col("id").alias(id_col), "n_words", F.expr(f"if(size(spans) = 0, spans, {grow})").alias("hit_spans"), "items")
+        rows = kept(rows, "rows")  # read twice: numbers must stay
+        met = document_prints(rows, span, gram, short).join(kept(prints, "prints").hint("merge"), "print").groupBy("row").agg(F.collect_list("print").alias("asked"))
+        found = document_windows(rows.join(met.hint("merge"), "row", "left"), span, gram, short, None)
+    found = kept(found, "hits")
+    at = found.select(F.col("row").alias("h_row"), F.explode("hits").alias("h")).select("h_row", "h.*")
+    same = lambda k: (F.col("width") == F.col(f"{k}_width")) & (F.col("print") == F.col(f"{k}_print")) & (F.col("words") == F.col(f"{k}_words"))
+    named = lambda df, k: df.select(*(F.col(c).alias(f"{k}_{c}") for c in df.columns))
+    at = at.join(F.broadcast(named(known, "k")) if (n_bytes or 0) <= most_bytes else named(known, "k").hint("merge"), same("k"), "left_semi")
+    at = kept(at.select("h_row", "start", (F.col("start") + F.col("width")).alias("end"), "width", "print", "words"), "true-hits")
+
+    by_start = Window.partitionBy("h_row").orderBy("start", "end")
+    far = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    spans = at.select("h_row", "start", "end").distinct().withColumn("new", F.coalesce((F.col("start") > far).cast("int"), F.lit(1)))
+    spans = spans.withColumn("nth", F.sum("new").over(by_start)).groupBy("h_row", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy(F.col("h_row").alias("s_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hit_spans"))
+    of = at.select("h_row", "width", "print", "words").distinct().join(named(every, "e").hint("merge"), same("e")).select("h_row", F.col("e_id").alias("item")).distinct()
+    of = of.groupBy(F.col("h_row").alias("i_row")).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = found.drop("hits").join(spans.hint("merge"), F.col("row") == F.col("s_row"), "left").join(of.hint("merge"), F.col("row") == F.col("i_row"), "left")
+    no_spans, no_items = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("hit_spans", no_spans).alias("hit_spans"), F.coalesce("items", no_items).alias("items"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -69,11 +69,24 @@ def test_decontamination(spark, docs, prints, windows):
     items = [(1, prose(rng, 30)), (2, "Short One"), (10, prose(rng, 11)), (2, "another text of two"), (3, ""), (4, None), (None, "w1 w2"), (5, "x" * 3000)]
     base = [prose(rng, 60) for _ in range(6)]
     texts = [(0, None), (1, ""), (2, base[0]), (3, base[1] + " " + items[0][1][:80] + "! " + base[2]), (4, "a short, ONE b"), (4, "a short, ONE b"), (None, items[2][1]), (6, base[3] + " short one short one " + items[0][1]), (7, "another-text of two"), (8, "x" * 3000)]
-    found = decontaminate.contamination(docs(texts), spark.createDataFrame(items, "item_id long, text string"), most_prints=prints, most_windows=windows)
+    found = decontaminate.contamination(docs(texts), spark.createDataFrame(items, "item_id long, text string"), most_prints=prints, most_bytes=windows)
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert rows(decontaminate.digest(found), *names) == brute_hits(texts, items)
 
 
+def test_decontamination_of_crowds(spark, docs):
+    """A line that all items share, a long text full of hits, and documents that come out of a shuffle."""
+    rng = random.Random(3)
+    line = prose(rng, 12, 900)
+    items = [(i, f"{prose(rng, 8, 900)} {line}") for i in range(300)]
+    texts = [(i, f"{prose(rng, 5, 900)} {line if i % 3 else ''}") for i in range(120)] + [(500, f"{line} and " * 3000)]
+    item_df = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit("clash"))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    for most in (0, 10**6):
+        found = decontaminate.contamination(docs(texts).withColumn("items", F.lit(1)).repartition(5), item_df, most_prints=most)
+        assert rows(decontaminate.digest(found), *names) == brute_hits(texts, items)
+
+
 def test_decontamination_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     found = decontaminate.digest(decontaminate.contamination(docs([(1, "a b")]), none))
