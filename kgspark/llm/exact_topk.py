@@ -1,6 +1,6 @@
 """Exact top-k by inner product: a KD-tree per shard.
 
-Vectors are dealt to shards by a hash of their id; a shard holds about SHARD vectors and is packed into one row,
+Vectors are dealt to shards by a hash of their id and row, so that rows of one id are no hot group, and results are the same however they are dealt; a shard holds about SHARD vectors and is packed into one row,
 as are blocks of BLOCK queries. Blocks meet all shards by shard number, and a task that has a shard builds its
 tree: the widest dimension is split at the median, and each node keeps its tight bounding box and smallest id.
 The box-to-query bound is the largest inner product that the box permits; a query visits nodes best first, and
@@ -12,7 +12,8 @@ in Python's integers (a score beyond a long's range is then clipped).
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids. Vectors
 of different length are not compared. A query's own row is any of its id. Of queries with equal id the smallest
-vector asks; candidates of equal id are candidates each. Fewer candidates than k: as many rows.
+vector asks; candidates of equal id are candidates each. Fewer candidates than k: as many rows. Empty table: no rows. Very long vectors are packed whole.
+Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def top_k(vectors: DataFrame, asks: Column, id_col: str = "vec_id", vector_col:
     sizes = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(asks).alias("q")).collect()}  # a row for each length
     n_shards = F.coalesce(*(F.when(F.col("dim") == d, math.ceil(n / shard)) for d, (n, _) in sizes.items()), F.lit(1)) if sizes else F.lit(1)
     n_blocks = F.coalesce(*(F.when(F.col("dim") == d, max(1, math.ceil(q / block))) for d, (_, q) in sizes.items()), F.lit(1)) if sizes else F.lit(1)
-    shards = _packed(rows.withColumn("shard", F.pmod(F.xxhash64("id"), n_shards).cast("int")), ["dim", "shard"])
+    shards = _packed(rows.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), n_shards).cast("int")), ["dim", "shard"])
     blocks = _packed(queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), n_blocks).cast("int")), ["dim", "block"])
     blocks = blocks.select(F.col("dim").alias("q_dim"), "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("small").alias("q_small"))
     blocks = blocks.withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.coalesce(*(F.when(F.col("q_dim") == d, math.ceil(n / shard)) for d, (n, _) in sizes.items()), F.lit(1)).cast("int") - 1 if sizes else F.lit(0))))

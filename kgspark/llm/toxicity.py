@@ -5,12 +5,14 @@ A document is a bag of sentences. A sentence's score is logistic in its words an
 Only document labels are known: the likelihood of the noisy-or is ascended, which credits those sentences
 that explain the label. Sentences of a score of 0.5 or more are the offending ones.
 
-Fitting uses at most `sample` labelled documents (SAMPLE by default: those of the smallest hashes), as the
-one bounded part; features in fewer than MIN_DOCS of them have weight 0. Every row is scored on its whole text.
+Fitting uses at most `sample` labelled documents (SAMPLE by default: those of the smallest hashes), and of these, in that order, no more than
+`most_bytes` of text (SAMPLE_BYTES by default; one document at least), as the
+one bounded part; of documents of one id, that of the smallest hash; features in fewer than MIN_DOCS of them have weight 0. Every row is scored on its whole text.
 
 Null or empty text, or one without words: score 0, no offending sentence. Labels that are null, or of ids
 without a document, are not used; of several labels of one id the largest holds. With no usable label, or only
-one class, all scores are 0 or stem from the bias alone.
+one class, all scores are 0 or stem from the bias alone. Equal rows are scored alike, one row each; empty table: no rows. Very long texts are
+scored whole. Ties: a score of 0.5 counts as toxic. Other columns are not read, or kept in a struct, so their names may clash.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from kgspark.llm._spark import table
 from kgspark.llm._words import ALNUM, U, Words, _bytes, mix, pieces, prefix, spans, words
 
-BITS, SAMPLE, MIN_DOCS, HEADS = 18, 16_384, 5, (4, 5)
+BITS, SAMPLE, SAMPLE_BYTES, MIN_DOCS, HEADS = 18, 16_384, 64 << 20, 5, (4, 5)
 EPOCHS, STEPS, BATCH, RATE, RIDGE, LASSO, PRIOR = 15, 800, 128, 0.05, 2e-5, 2e-4, -8.0
 ENDS = np.zeros(256, bool)
 ENDS[[10, 33, 46, 63]] = True  # a line's end and !.?
@@ -129,16 +131,25 @@ def score(model: tuple[np.ndarray, float], texts: pa.Array) -> tuple[np.ndarray,
     return np.clip(scores, 0.0, 1.0), found
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
     """Weights and bias. learn: which label rows may be used."""
     rows = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("y"))
     rows = rows.where(F.col("label_id").isNotNull() & F.col("y").isNotNull())
     if learn is not None:
         rows = rows.where(learn)
-    rows = rows.groupBy("label_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.lit(3), "label_id"), "label_id").limit(sample)
+    order = F.xxhash64(F.lit(3), "label_id")
+    rows = rows.groupBy("label_id").agg(F.max("y").alias("y")).orderBy(order, "label_id").limit(sample)
     # No more than `sample` rows of two numbers: broadcast whatever the input's size.
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    picked = texts.join(F.broadcast(rows), F.col("id") == F.col("label_id")).select("id", "y", "text").repartition(1)
+    texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("own"), F.col(text_col).cast("string").alias("text"))
+    sizes = texts.join(F.broadcast(rows), F.col("id") == F.col("label_id")).groupBy("label_id", "y").agg(F.min(F.struct("own", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))).alias("text"))
+    spark, left, chosen = documents.sparkSession, most_bytes, []
+    for r in sizes.select("label_id", "y", "text.own", "text.n", order.alias("at")).sort("at", "label_id").collect():  # `sample` rows of numbers at most
+        if left < r["n"] and chosen:
+            break
+        left -= r["n"]
+        chosen.append((r["label_id"], r["y"], r["own"]))
+    picks = spark.createDataFrame(chosen, f"label_id {rows.schema['label_id'].dataType.simpleString()}, y int, picked long")
+    picked = texts.join(F.broadcast(picks), (F.col("id") == F.col("label_id")) & (F.col("own") == F.col("picked"))).select("id", "y", "text").dropDuplicates(["id"]).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)

@@ -547,6 +547,40 @@ def test_toxicity(spark, docs):
     assert [tuple(r) for r in kept] == [(1, "x", "own")]
 
 
+def test_toxicity_against_brute_force(docs):
+    """The noisy-or of the sentences' logistic scores, word by word; repeated rows; an empty table."""
+    import pyarrow as pa
+
+    from kgspark.llm._words import ALNUM, words
+
+    rng = np.random.default_rng(3)
+    model = (rng.normal(0, 1.5, 1 << toxicity.BITS), -2.0)
+    texts = ["One two. Three? four five!\nSix", "é-à b.c", "", None, "...", "w " * 400, "One two. Three? four five!\nSix"]
+
+    def brute(t):
+        left = 1.0
+        for sentence in re.split(r"[\n!.?]", t or ""):
+            found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(sentence))
+            z = model[1]
+            for x in found:
+                z += sum(model[0][i[0]] for i in toxicity.features(words(pa.array([x]), ALNUM, True)))
+            left *= 1 - 1 / (1 + math.exp(-max(z, -700))) if found else 1
+        return 1 - left
+
+    out = toxicity.toxicity(docs(list(enumerate(texts))), model).collect()
+    assert {r.doc_id: r.score for r in out} == pytest.approx({i: brute(t) for i, t in enumerate(texts)}, abs=1e-9)
+    assert all(r.predicted == (r.score >= 0.5) for r in out) and out[0].score == out[6].score
+    assert toxicity.toxicity(docs([]), model).count() == 0
+
+
+def test_toxicity_sample_is_bounded(spark, docs):
+    rng = random.Random(4)
+    made = [(i, prose(rng, 30, 50) + (" vile" if i % 2 else "")) for i in range(200)] + [(3, "again " * 10)] * 50
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    full, again, few = (toxicity.train(docs(x), labels, most_bytes=n) for x, n in ((made, 1 << 20), (made[::-1], 1 << 20), (made, 2000)))
+    assert (full[0] == again[0]).all() and full[1] == again[1] and not (full[0] == few[0]).all()
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.train(docs([(1, "a")]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in toxicity.toxicity(docs([(1, "a b. c")]), model).collect()] == [0.0]
