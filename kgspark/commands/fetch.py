@@ -29,7 +29,7 @@ def issues_url(repository: str) -> str:
     url = urllib.parse.urlsplit(repository.rstrip("/"))
     path = url.path.strip("/").removesuffix(".git")
     if url.netloc == "github.com":
-        return f"https://api.github.com/repos/{path}/issues"
+        return f"https://api.github.com/repos/{'/'.join(path.split('/')[:2])}/issues?state=all"  # closed ones, too
     if "gitlab" in url.netloc and not path.startswith("api/"):
         return f"{url.scheme}://{url.netloc}/api/v4/projects/{urllib.parse.quote(path, safe='')}/issues"
     return repository

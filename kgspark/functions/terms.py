@@ -167,20 +167,27 @@ def _encoded(c: Column) -> Column:
 
 
 def _joined(base: str, c: Column) -> Column:
-    """A relative reference resolved against a base that is known. Dot segments are resolved where they lead the reference."""
+    """A relative reference resolved against a base that is known."""
     root = urlsplit(base)
     host = f"{root.scheme}://{root.netloc}"
     folder = urljoin(base, "x")[:-1]
-    up = urljoin(base, "../x")[:-1]
+    path = F.regexp_extract(c, r"^[^?#]*", 0)
+    whole = F.when(c.startswith("/"), path).otherwise(F.concat(F.lit(urlsplit(folder).path), path))
+    # Segments in turn: '..' takes the one before it away; a last '.' or '..' leaves a folder.
+    none = F.array().cast("array<string>")
+    steps = F.aggregate(
+        F.split(whole, "/", -1), none, lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x.isin("", "."), a).otherwise(F.concat(a, F.array(x)))
+    )
+    ended = F.when(whole.rlike(r"(^|/)\.{0,2}$") & (F.size(steps) > 0), F.lit("/")).otherwise(F.lit(""))
+    dotted = F.concat(F.lit(host + "/"), F.array_join(steps, "/"), ended, F.regexp_extract(c, r"[?#](?s:.*)$", 0))
     return (
         F.when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), c)
         .when(c == "", F.lit(base))
         .when(c.startswith("//"), F.concat(F.lit(root.scheme + ":"), c))
+        .when(c.rlike(r"^[^?#]*(?<![^/])\.\.?(?![^/?#])"), dotted)
         .when(c.startswith("/"), F.concat(F.lit(host), c))
         .when(c.startswith("?"), F.concat(F.lit(base.split("?")[0].split("#")[0]), c))
         .when(c.startswith("#"), F.concat(F.lit(base.split("#")[0]), c))
-        .when(c.startswith("../"), F.concat(F.lit(up), F.substring(c, F.lit(4), F.length(c))))
-        .when(c.startswith("./"), F.concat(F.lit(folder), F.substring(c, F.lit(3), F.length(c))))
         .otherwise(F.concat(F.lit(folder), c))
     )
 

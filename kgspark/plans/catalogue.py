@@ -6,6 +6,7 @@ Rows are subject, predicate, object and graph as N-Triples text, if nothing else
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -166,8 +167,19 @@ def source_cartesian(spark, sf_dir):
     return _branch(src, f"{EX}role/", "role", "turn", "turn").execute(spark).text()
 
 
+def _folder() -> str:
+    """A new folder for a query's small files: in the folder that executors share, where that is one of this machine's paths."""
+    spark = SparkSession.getActiveSession()
+    shared = (spark.conf.get("spark.checkpoint.dir", None) if spark else None) or ""
+    shared = re.sub(r"^file:/+", "/", shared)
+    if shared.startswith("/"):
+        os.makedirs(shared, exist_ok=True)
+        return tempfile.mkdtemp(prefix="kgspark-files-", dir=shared)
+    return tempfile.mkdtemp(prefix="kgspark-")
+
+
 def _file(name: str, text: str) -> str:
-    path = os.path.join(tempfile.mkdtemp(prefix="kgspark-"), name)
+    path = os.path.join(_folder(), name)
     with open(path, "w", encoding="utf-8") as f:
         f.write(text)
     return path
@@ -190,6 +202,13 @@ def source_xml(spark, sf_dir):
     return mapped(spark, sf_dir, f'ex:M rml:logicalSource [ rml:source "{path}" ; rml:referenceFormulation ql:XPath ; rml:iterator "/root/row" ] ; {pom("ex:name", reference("name"))} rr:subjectMap [ rr:template "{EX}row/{{@code}}" ] .')
 
 
+@query(_literal_rows(("row/1", "name", "Ann"), ("row/3", "name", "Cy")))
+def source_xml_path(spark, sf_dir):
+    """A path of several steps and a predicate: rows of other parents, and without the attribute, are none."""
+    path = _file("paths.xml", '<root><a><row code="1"><name>Ann</name></row><row><name>Bo</name></row><row code="3"><name>Cy</name></row></a><b><row code="4"><name>Di</name></row></b></root>')
+    return mapped(spark, sf_dir, f'ex:M rml:logicalSource [ rml:source "{path}" ; rml:referenceFormulation ql:XPath ; rml:iterator "/root/a/row[@code]" ] ; {pom("ex:name", reference("name"))} rr:subjectMap [ rr:template "{EX}row/{{@code}}" ] .')
+
+
 @query(_literal_rows(("a", "name", "Ann"), ("b", "name", "Bo")))
 def source_sparql(spark, sf_dir):
     """A local graph answers the query of a logical source."""
@@ -550,10 +569,18 @@ def sparql_optional_filter(spark, sf_dir):
     return select(mapped(spark, sf_dir, text), f'PREFIX ex: <{EX}> SELECT ?n ?name ?region WHERE {{ ?n ex:name ?name ; ex:key ?k . OPTIONAL {{ ?n ex:region ?region }} FILTER(?k >= 3 && ?name != "CHINA") }}')
 
 
+@query("SELECT " + NATION + " AS n, CASE WHEN n_nationkey > n_regionkey * 6 THEN '\"' || n_regionkey || '\"^^<" + XSD + "integer>' END AS less FROM nation")
+def sparql_optional_outer(spark, sf_dir):
+    """A filter of an optional part that compares with a variable outside it."""
+    subject = f'rr:template "{EX}nation/{{n_nationkey}}"'
+    text = triples_map("N", "nation", subject, pom("ex:key", reference("n_nationkey"))) + triples_map("R", "nation", subject, pom("ex:region", reference("n_regionkey"))) + triples_map("S", "SELECT n_nationkey, n_regionkey * 6 AS six FROM nation", subject, pom("ex:six", reference("six")))
+    return select(mapped(spark, sf_dir, text), f'PREFIX ex: <{EX}> SELECT ?n ?less WHERE {{ ?n ex:key ?k . OPTIONAL {{ ?n ex:region ?less ; ex:six ?six FILTER(?k > ?six) }} }}')
+
+
 @query("SELECT '<http://example.org/r' || i || '>' AS repo, '\"Issue ' || i || '\"' AS title FROM range(1, 4) t(i)")
 def sparql_service_call(spark, sf_dir):
     """A mapping for each value, each into a graph of its own."""
-    folder = tempfile.mkdtemp(prefix="kgspark-")
+    folder = _folder()
     for i in (1, 2, 3):
         with open(os.path.join(folder, f"r{i}.json"), "w", encoding="utf-8") as f:
             f.write(f'{{"issues": [{{"id": "{i}", "title": "Issue {i}"}}]}}')

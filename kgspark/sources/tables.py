@@ -196,6 +196,7 @@ def portable(sql: str) -> str:
     sql = re.sub(r"\bCASCADE\b", "", "\n".join(lines), flags=re.I)
     sql = re.sub(r"\btest\.", "", sql)
     sql = re.sub(r"\b0x([0-9A-Fa-f]+)\b", r"X'\1'", sql)
+    sql = re.sub(r"\bCAST\s*\(\s*'([0-9A-Fa-f]+)'\s+AS\s+VARBINARY\s*(?:\([^)]*\))?\s*\)", r"X'\1'", sql, flags=re.I)
     sql = re.sub(r"'\\x([0-9A-Fa-f]+)'", r"X'\1'", sql)
     return re.sub(r"`", '"', sql)
 

@@ -1,10 +1,17 @@
-"""XML files: the iterator's last element names the rows; children and @attributes are extracted, each with all its values."""
+"""XML files: the iterator's path names the rows; children and @attributes are extracted, each with all its values.
+
+Rows of `.//name` come from Spark's reader, which splits files. Other paths (steps, `*`, `..`, predicates [n], [@a], [@a='v'], [name], [name='v']) are
+followed in a file as a whole, one file after the other in a task.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,26 +27,63 @@ class XmlFile(Reader):
     def facts(self):
         return [("path", self.path)]
 
-    def rows(self, spark, iterator: str) -> DataFrame:
-        tag = next((s for s in reversed(re.split(r"/+", iterator.strip())) if s and s not in (".", "*")), None)
-        tag = re.sub(r"\[.*\]$", "", tag) if tag else None
-        if tag is None:  # the root
-            first = spark.read.text(self.path, wholetext=True).first()
-            m = re.search(r"<([A-Za-z_][\w.\-:]*)", re.sub(r"<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>", "", first[0] if first else "", flags=re.S))
-            tag = m[1] if m else "row"
-        return spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).option("ignoreSurroundingSpaces", False).load(self.path)
-
     def arrays(self, spark, iterator: str, mappings: dict[str, str]) -> DataFrame:
         """A row for each element, with an array of each attribute's values."""
-        df = self.rows(spark, iterator or ".")
-        return df.select(*(_values(df.schema, q).alias(a) for a, q in mappings.items()))
+        if tag := re.fullmatch(r"\.//([A-Za-z_][\w.\-]*)", iterator.strip()):  # large files are split at such rows
+            df = spark.read.format("xml").option("rowTag", tag[1]).option("inferSchema", False).option("ignoreSurroundingSpaces", False).load(self.path)
+            return df.select(*(_values(df.schema, q).alias(a) for a, q in mappings.items()))
+        check_path(iterator)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for content in b.column("content"):
+                    found = elements(ElementTree.fromstring(content.as_py()), iterator)
+                    columns = [pa.array([texts(e, q) for e in found], pa.list_(pa.string())) for q in mappings.values()]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), *columns], ["nth", *mappings])
+
+        strings = T.ArrayType(T.StringType())
+        kind = T.StructType([T.StructField("nth", T.LongType()), *(T.StructField(a, strings) for a in mappings)])
+        files = spark.read.format("binaryFile").load(self.path).select("content")  # a row for each file
+        return files.mapInArrow(run, kind).select(*(F.col(f"`{a}`") for a in mappings) or [F.lit(1).alias("one")])
 
     def read(self, spark, iterator: str, mappings: dict[str, str], strict: bool = False) -> tuple[DataFrame, dict[str, Val]]:
-        df = self.rows(spark, iterator or ".")
-        df = explode_all(df, {a: _values(df.schema, q) for a, q in mappings.items()}, strict)
+        df = self.arrays(spark, iterator or ".", mappings)
+        df = explode_all(df, {a: F.col(f"`{a}`") for a in mappings}, strict)
         return df, {a: Val(F.col(f"`{a}`")) for a in mappings}
 
 
+def check_path(path: str) -> None:
+    """Refuses a path with steps or predicates that are not known."""
+    try:
+        ElementTree.Element("x").findall(path.strip().lstrip("/") or ".")
+    except (SyntaxError, KeyError) as e:
+        raise ValueError(f"this path isn't known: {path}") from e
+
+
+def elements(root: ElementTree.Element, iterator: str) -> list[ElementTree.Element]:
+    """The elements of a path from the root element. An absolute one begins with the root's own name, or with a child's, or anywhere, or else its last step alone names the rows."""
+    path = iterator.strip()
+    if not path.startswith("/"):
+        return root.findall(path or ".")
+    path = path.lstrip("/")
+    first, _, rest = path.partition("/")
+    tries = [rest or "."] if first == root.tag and not iterator.strip().startswith("//") else []
+    tries += [path, f".//{path}", f".//{path.rpartition('/')[2]}"] if path else ["."]
+    return next((found for p in tries if (found := root.findall(p))), [])
+
+
+def texts(element: ElementTree.Element, query: str) -> list[str]:
+    """The non-empty texts, or the attributes, at a path from an element; none if the path isn't known."""
+    path, _, last = re.sub(r"^\$\.?", "", query).rpartition("/")
+    try:
+        if last.startswith("@"):
+            return [v for e in (element.findall(path) if path else [element]) if (v := e.get(last[1:])) is not None]
+        path = path if last == "text()" else f"{path}/{last}" if path else last
+        return [e.text for e in element.findall(path or ".") if e.text]
+    except (SyntaxError, KeyError):
+        return []
+
+
 def _each(found: Column, name: str) -> Column:
     return F.transform(found, lambda x: x[name])
 

@@ -287,6 +287,10 @@ def _literal(c: Column) -> Column:
     return F.when(c.isNotNull(), F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
 
 
+#: Terms of numeric datatypes, and numbers as a query writes them.
+_NUMBER = r"""^[+-]?[0-9.]|\^\^<http://www\.w3\.org/2001/XMLSchema#(integer|decimal|double|float|(unsigned|)(long|int|short|byte)|(non|)(positive|negative)Integer|(nonNegative|nonPositive)Integer)>$"""
+
+
 def _value(e: tuple, have: list[str]) -> Column:
     """An expression as text; truth values are booleans."""
     kind = e[0]
@@ -301,9 +305,9 @@ def _value(e: tuple, have: list[str]) -> Column:
     if kind == "call":
         return _call(e[1], [_value(a, have) for a in e[2]], e[2])
     a, b = _value(e[1], have), _value(e[2], have)
-    # Numbers by value, all else by lexical form; equal terms are equal.
+    # Numbers, by their datatype, by value; all else by lexical form; equal terms are equal.
     x, y = lexical(a), lexical(b)
-    n, m = F.expr("try_cast(1 as double)") * x.try_cast("double"), y.try_cast("double")
+    n, m = (F.when(t.rlike(_NUMBER), v.try_cast("double")) for t, v in ((a, x), (b, y)))
     numeric = n.isNotNull() & m.isNotNull()
     ops = {"=": lambda p, q: p == q, "!=": lambda p, q: p != q, "<": lambda p, q: p < q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, ">=": lambda p, q: p >= q}
     return F.when(numeric, ops[kind](n, m)).otherwise(ops[kind](a, b) if kind in ("=", "!=") else ops[kind](x, y))
@@ -368,6 +372,18 @@ def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataF
     return left.join(right, shared, how)
 
 
+def _optional(left: DataFrame, right: DataFrame, tests: list) -> DataFrame:
+    """A left join; filters of the optional part see both sides' variables and decide on what joins."""
+    shared = [c for c in left.columns if c in right.columns]
+    named = right.select(*(F.col(f"`{c}`").alias(f"__right_{c}" if c in shared else c) for c in right.columns))
+    on = F.lit(True)
+    for c in shared:
+        on = on & (F.col(f"`{c}`") == F.col(f"`__right_{c}`"))
+    for t in tests:
+        on = on & F.coalesce(_truth(t, [*left.columns, *right.columns]), F.lit(False))
+    return left.join(named, on, "left").drop(*(f"__right_{c}" for c in shared))
+
+
 def _pattern(quads: DataFrame, terms: tuple[str, str, str], graph: str | None) -> DataFrame:
     pairs = list(zip(("subject", "predicate", "object"), terms, strict=True))
     df = quads
@@ -407,10 +423,13 @@ def _group(quads: DataFrame, parts: list, graph: str | None, start: DataFrame |
             df = _join(df, out)
         elif kind == "optional":
             right = _group(quads, [p for p in x[0] if p[0] != "filter"], graph)
-            for p in x[0]:
-                if p[0] == "filter":
-                    right = right.where(_truth(p[1], right.columns))
-            df = right if df is None else _join(df, right, "left")
+            tests = [p[1] for p in x[0] if p[0] == "filter"]
+            if df is None:
+                for t in tests:
+                    right = right.where(_truth(t, right.columns))
+                df = right
+            else:
+                df = _optional(df, right, tests)
         else:
             df = quads.sparkSession.range(1).select(F.lit(1).alias("__one")) if df is None else df
             df = df.withColumn(x[1], _value(x[0], df.columns).cast("string")) if kind == "bind" else df.where(_truth(x[0], df.columns))
@@ -458,7 +477,7 @@ def graph_iri(token: str, base: str = "http://example.org/graph/") -> str:
 
 def mapping_for(token: str, file: str, directory: str) -> str:
     name = token_name(token)
-    for path in (f"{name}_{file}", os.path.join(name, file), file):
+    for path in (file, f"{name}_{file}", os.path.join(name, file)):
         if os.path.exists(os.path.join(directory, path)):
             return os.path.join(directory, path)
     raise FileNotFoundError(f"{file} for {name} in {directory}")

@@ -240,6 +240,30 @@ def test_xml(spark, tmp_path):
     assert read(spark, src, "row", v="nothing") == []
 
 
+def test_xml_paths(spark, tmp_path):
+    path = write(tmp_path / "b.xml", '<root><a k="1"><row n="1"/><row n="2"/></a><b><row n="3"><sub><row n="4"/></sub></row></b><row n="5"/></root>')
+    src = S.XmlFile(path)
+    got = lambda iterator: [x[0] for x in read(spark, src, iterator, n="@n")]
+    assert got("/root/a/row") == ["1", "2"] and got("/root/b/row") == ["3"] and got("a/row") == ["1", "2"]
+    assert got("/root/row") == got("row") == ["5"]
+    assert got("a/row[2]") == ["2"] and got("*/row[@n='3']") == ["3"] and got(".//sub/row") == ["4"] and got("/sub/row") == ["4"]
+    assert got("/elsewhere/row") == ["1", "2", "3", "4", "5"]  # its last step alone names the rows
+    assert read(spark, src, "/root/b", n="row/sub/row/@n") == [("4",)] and read(spark, src, ".", n="a/@k") == [("1",)]
+    assert got("nothing") == []
+    with pytest.raises(ValueError):
+        got("row[position()<2]")
+
+
+def test_relative_references(spark):
+    from urllib.parse import urljoin
+
+    references = ["x", "../x", "../../x", "../../../x/y", "a/../b", "a/./b", "./x", ".", "..", "../", "/a/../b", "/..", "a/..", "a/.", "x?q=/../y", "../x?q#f", "#f", "?q", "", "a..b/c", ".hidden", "a/b/../../c/"]
+    for base in ("http://h.org/one/two/three", "http://h.org/one/", "http://h.org/"):
+        df = spark.createDataFrame([(r,) for r in references], "r string")
+        got = {r.r: r.j for r in df.select("r", T._joined(base, F.col("r")).alias("j")).collect()}
+        assert got == {r: urljoin(base, r) for r in references}
+
+
 def test_sql_script(spark, tmp_path):
     write(tmp_path / "resource1.sql", "USE x;\nCREATE TABLE demo (flag BIT, code CHAR(3), created DATETIME, n INTEGER, payload VARBINARY(2));\nINSERT INTO demo VALUES (1, 'A', '2024-01-02 03:04:05', 7, 0x0F);\n")
     df, values = S.ScriptTables(str(tmp_path), "demo").read(spark, "$", {c: c for c in ("flag", "code", "created", "n", "payload")})
@@ -257,6 +281,7 @@ def test_sql_helpers():
     with pytest.raises(ValueError):
         jdbc_url("what")
     assert [database_kind("com.mysql.jdbc.Driver", None), database_kind(None, "jdbc:postgresql://h"), database_kind("mssql", ""), database_kind(None, None)] == ["mysql", "postgresql", "sqlserver", None]
+    assert portable("VALUES (CAST('0fA1' AS VARBINARY(2)), cast ( '00' as varbinary ))") == "VALUES (X'0fA1', X'00')"
     assert "X'0F'" in portable("VALUES (0x0F)") and "CASCADE" not in portable("DROP TABLE a CASCADE")
     assert script_types("CREATE TABLE t (a INT, b CHAR(3), PRIMARY KEY (a));") == {"a": "INT", "b": "CHAR(3)"}
 
@@ -423,6 +448,9 @@ def graph(spark):
         ("SELECT ?x WHERE { ?x e:f/e:n ?n }", None),
         ("SELECT ?x ?x WHERE { ?x ?p ?o }", None),
         ("", None),
+        ("SELECT ?x ?y WHERE { ?x e:k ?k OPTIONAL { ?y e:k ?m FILTER(?m > ?k && ?m < 10) } }", [("<http://e/a>", "<http://e/c>"), ("<http://e/b>", None), ("<http://e/c>", None)]),
+        ("SELECT ?x WHERE { ?x e:k ?k FILTER(?k = 3.0) }", [("<http://e/c>",)]),
+        ('SELECT ?a WHERE { VALUES (?a ?b) { ("3" "3.0") ("x" "x") } FILTER(?a = ?b) }', [('"x"',)]),
         ("SELECT ?x WHERE { ?x e:n ?n FILTER(REGEX(STR(?n), \"^a$\", \"i\") || !BOUND(?n)) }", [("<http://e/a>",)]),
     ],
 )
@@ -435,6 +463,18 @@ def test_select(graph, query, rows):
         assert sorted((tuple(r) for r in select(graph, text).collect()), key=str) == rows
 
 
+def test_mappings_are_found_in_order(tmp_path):
+    from kgspark.sparql import mapping_for
+
+    (tmp_path / "r1").mkdir()
+    expected = [tmp_path / "r1" / "m.ttl", tmp_path / "r1_m.ttl", tmp_path / "m.ttl"]
+    with pytest.raises(FileNotFoundError):
+        mapping_for("r1", "m.ttl", str(tmp_path))
+    for path in expected:
+        path.write_text("")
+        assert mapping_for("r1", "m.ttl", str(tmp_path)) == str(path)
+
+
 def test_service_call_parts():
     q = 'SELECT * WHERE { VALUES ?r { <http://x/r1> "r2" r3 } BIND SERVICE-CALL(?r, "m.ttl") AS ?g GRAPH ?g { ?s ?p ?o } }'
     assert service_calls(q) == [("r", "m.ttl", "g")]
@@ -476,6 +516,7 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     good = write(tmp_path / "n.ttl", (tmp_path / "m.ttl").read_text().replace("{{GITHUB_SOURCE}}", "a.json"))
     assert main(["run", "-m", good, "--explain"]) == 0 and "Source(" in capsys.readouterr().out
     assert main(["run", "-m", good]) == 0 and "<http://e/1>" in capsys.readouterr().out
+    assert fetch.issues_url("https://github.com/o/r.git") == "https://api.github.com/repos/o/r/issues?state=all"
     assert fetch.issues_url("https://gitlab.com/g/p/") == "https://gitlab.com/api/v4/projects/g%2Fp/issues"
     data = {"result": {"hits": {"hit": [{"info": {"year": "2001"}}, {"info": {"year": "x"}}, {"info": {"year": "2020"}}]}}}
     assert len(fetch.filtered(data, "dblp", 2010, None)["result"]["hits"]["hit"]) == 2
