@@ -393,10 +393,10 @@ def test_lm_is_a_distribution():
     """The probabilities of all bytes after a token's beginning add up to 1."""
     import pyarrow as pa
 
-    m = lm_score.Model(np.zeros(lm_score.SLOTS, np.uint8), np.zeros(lm_score.SLOTS, np.uint8))
+    m = lm_score.Model(np.zeros(lm_score.SLOTS, np.uint16))
     for _, _, _, slots, _, _, bit in lm_score.Letters(pa.array([b"abc", b"abd", b"b"]), np.array([0, 0, 1])).events():
-        np.add.at(m.ones, slots[:, bit == 1].ravel(), 1)
-        np.add.at(m.zeros, slots[:, bit == 0].ravel(), 1)
+        np.add.at(m.counts, slots[:, bit == 1].ravel(), 256)
+        np.add.at(m.counts, slots[:, bit == 0].ravel(), 1)
     # Bytes but the last one, which would end a token, have one code each.
     total, taught = 0.0, [b"abcd", b"abce", b"abc"]
     texts = [b"abc" + bytes([c]) for c in range(256)] + taught
