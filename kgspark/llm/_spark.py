@@ -42,17 +42,21 @@ def clean(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Within it, an action's shuffle files go when the action ends, and not when the driver next collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for the plans that are run within it."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def tidy(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within it, an action's shuffle files go when the action ends, and not when the driver next collects its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def store(df: DataFrame, path: str, mode: str = "error") -> None:
     """Writes df as Parquet."""
     with tidy(df.sparkSession):
