@@ -752,7 +752,7 @@ def test_url_regression():
 
     assert np.mean([(p(u) >= 0.5) == y for u, y in url_filter.SEED_URLS]) > 0.97
     assert np.mean([p(f"http://{n}.example.net/page/12") >= 0.5 for n in OTHER_UNWANTED]) >= 0.8
-    assert np.mean([p(f"http://{n}.example.net/page/12") >= 0.5 for n in OTHER_HARMLESS]) <= 0.05
+    assert np.mean([p(f"http://{n}.example.net/page/12") >= 0.5 for n in OTHER_HARMLESS]) <= 0.1
     assert p(None or "") == pytest.approx(p("nothing"))
     url_filter.train([])
 
