@@ -218,11 +218,65 @@ def test_default_graph_only(spark):
 
 def test_json_paths():
     assert parse_path("$.a['b c'][0][*].d") == ["a", "b c", 0, None, "d"]
-    for bad in ("$..a", "$.a[?(@.b)]", "$.a[1:2]"):
+    for bad in ("$..", "$.a[?(@.b]", "$.a[1:2:0]", "$.a[?(@.b ==)]", "$.a[?]"):
         with pytest.raises(ValueError):
             parse_path(bad)
 
 
+BOOKS = [
+    {"id": 1, "price": 8, "kind": "a", "tags": ["x", "y", "z"], "sub": {"id": 11, "sub": {"id": 111}}},
+    {"id": 2, "price": "9", "kind": "b", "tags": "single", "more": [{"id": 21}, [{"id": 22}]]},
+    {"id": 3, "price": 12.5, "kind": None, "tags": [], "flag": True},
+    {"id": 4, "kind": "a", "low": 3, "price": 2},
+]
+
+
+@pytest.mark.parametrize(
+    "iterator, expected",
+    [
+        ("$.books[1:3]", ["2", "3"]),
+        ("$.books[:2]", ["1", "2"]),
+        ("$.books[-1]", ["4"]),
+        ("$.books[-2:]", ["3", "4"]),
+        ("$.books[::2]", ["1", "3"]),
+        ("$.books[::-1]", ["1", "2", "3", "4"]),
+        ("$.books[3:0:-2]", ["2", "4"]),
+        ("$.books[9:]", []),
+        ("$.books[?(@.price < 10)]", ["1", "4"]),
+        ("$.books[?(@.price == '9')]", ["2"]),
+        ("$.books[?(@.kind == 'a' && !(@.price > 5))]", ["4"]),
+        ("$.books[?@.flag == true || @.kind == null]", ["3"]),
+        ("$.books[?(@.low)]", ["4"]),
+        ("$.books[?(@.low > @.price)].sub", []),
+        ("$.books[?(@.price != 8)]", ["2", "3", "4"]),
+        ("$.books[?(@.sub.id == 11)].sub", ["11"]),
+        ("$['books','none'][0]", ["1"]),
+        ("$..sub", ["11", "111"]),
+        ("$..books[0]", ["1"]),
+        ("$.one[*]", ["7"]),
+        ("$.one.*", []),
+        ("$.deep.*", ["5", "6"]),
+    ],
+)
+def test_json_path_steps(spark, tmp_path, iterator, expected):
+    path = write(tmp_path / "a.json", json.dumps({"books": BOOKS, "one": {"id": 7}, "deep": {"p": {"id": 5}, "q": {"id": 6}}}))
+    assert sorted(r[0] for r in read(spark, S.JsonFile(path), iterator, id="id")) == sorted(expected)
+
+
+def test_json_path_values(spark, tmp_path):
+    path = write(tmp_path / "a.json", json.dumps({"books": BOOKS}))
+    src = S.JsonFile(path)
+    assert read(spark, src, "$.books[0]", t="tags[1:]") == [("y",), ("z",)]
+    assert read(spark, src, "$.books[0]", t="tags[?(@ == 'y')]") == [("y",)]
+    assert read(spark, src, "$.books[1]", t="tags[*]") == [("single",)]
+    assert sorted(read(spark, src, "$", i="$..id")) == sorted((str(i),) for i in (1, 2, 3, 4, 11, 111, 21, 22))
+    deep = "7"
+    for _ in range(60):
+        deep = '{"n": [' + deep + "]}"
+    assert read(spark, S.JsonFile(write(tmp_path / "d.json", '{"v": ' + deep + "}")), "$.v" + ".n[0]" * 60, v="$") == [("7",)]
+    assert len(read(spark, S.JsonFile(str(tmp_path / "d.json")), "$..n", v="$..n")) > 0
+
+
 def test_csv(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'ID,Name,x.y\n1,"a ""q"", b",p\n2,,\n3\n4,d,e,f\n')
     src = S.CsvFile(path)
