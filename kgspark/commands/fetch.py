@@ -70,15 +70,61 @@ class ListIssues(Command):
             return run_mapping(mapping, args.output, args.explain)
 
 
-#: Service: the file's name, the address, its parameters, the path to the records and the fields of a record's year.
+def _dates(start: int | None, end: int | None) -> dict:
+    bounds = [f"from_publication_date:{start}-01-01"] * bool(start) + [f"to_publication_date:{end}-12-31"] * bool(end)
+    return {"filter": ",".join(bounds)} if bounds else {}
+
+
+def _openalex(author: str, start: int | None, end: int | None) -> list[dict]:
+    common = {"per-page": 200, "sort": "publication_date:desc"} | _dates(start, end)
+    ways = ({"search": f"authorships.author.display_name:{author}"}, {"search": f"author.display_name:{author}"}, {"search": author}, {"query": author})
+    return [common | way for way in ways]
+
+
+def _hal(author: str, *_) -> list[dict]:
+    return [{"q": f'authFullName_t:"{author}"', "wt": "json", "rows": 200} | more for more in ({}, {"start": 0, "rows": 500})]
+
+
+def _dblp(author: str, *_) -> list[dict]:
+    return [{"q": author, "format": "json", "h": 200}]
+
+
+def _serpapi(author: str, *_) -> list[dict]:
+    key = os.environ.get("SERPAPI_API_KEY") or os.environ.get("SERPAPI_KEY")
+    return [{"q": author, "engine": "google_scholar", "api_key": key}] if key else []
+
+
+#: Service: the file's name, the address, its parameters (each but the first tried when those before find nothing), the path to the records and the fields of a record's year.
 ARTICLES = {
-    "openalex": ("openalex_works.json", "https://api.openalex.org/works", lambda a: {"search": a, "per-page": 200, "sort": "publication_date:desc"}, ("results",), ("publication_year",)),
-    "hal": ("hal_results.json", "https://api.archives-ouvertes.fr/search/", lambda a: {"q": f'authFullName_t:"{a}"', "wt": "json", "rows": 200}, ("response", "docs"), ("producedDateY_i", "pubYear", "producedDateY")),
-    "dblp": ("dblp_results.json", "https://dblp.org/search/publ/api", lambda a: {"q": a, "format": "json", "h": 200}, ("result", "hits", "hit"), ("info.year",)),
-    "serpapi": ("serpapi_scholar.json", "https://serpapi.com/search.json", lambda a: {"q": a, "engine": "google_scholar", "api_key": os.environ.get("SERPAPI_API_KEY", "")}, ("organic_results",), ()),
+    "openalex": ("openalex_works.json", "https://api.openalex.org/works", _openalex, ("results",), ("publication_year",)),
+    "hal": ("hal_results.json", "https://api.archives-ouvertes.fr/search/", _hal, ("response", "docs"), ("producedDateY_i", "pubYear", "producedDateY")),
+    "dblp": ("dblp_results.json", "https://dblp.org/search/publ/api", _dblp, ("result", "hits", "hit"), ("info.year",)),
+    "serpapi": ("serpapi_scholar.json", "https://serpapi.com/search.json", _serpapi, ("organic_results",), ()),
 }
 
 
+def records(data, service: str) -> list:
+    for step in ARTICLES[service][3]:
+        data = data.get(step) if isinstance(data, dict) else None
+    return data if isinstance(data, list) else []
+
+
+def fetched(service: str, author: str, start: int | None, end: int | None):
+    """The first answer that has records, else the last one; None if there is none at all."""
+    _, url, ways, _, _ = ARTICLES[service]
+    got = None
+    for params in ways(author, start, end):
+        try:
+            answer = get_json(url, params)
+        except (OSError, ValueError) as e:
+            log.warning("nothing from %s: %s", service, e)
+            continue
+        got = answer
+        if records(got, service):
+            break
+    return got
+
+
 def in_years(record: dict, fields: tuple[str, ...], start: int | None, end: int | None) -> bool:
     """A record without a year that can be read passes."""
     for field in fields:
@@ -123,15 +169,10 @@ class ListArticles(Command):
             if service not in ARTICLES:
                 log.warning("no such service: %s", service)
                 continue
-            name, url, params, _, _ = ARTICLES[service]
-            if service == "serpapi" and not os.environ.get("SERPAPI_API_KEY"):
-                continue
-            try:
-                got = filtered(get_json(url, params(args.author)), service, args.start_year, args.end_year)
-            except (OSError, ValueError) as e:
-                log.warning("nothing from %s: %s", service, e)
+            got = fetched(service, args.author, args.start_year, args.end_year)
+            if got is None:
                 continue
-            with open(os.path.join(data, name), "w", encoding="utf-8") as f:
-                json.dump(got, f, ensure_ascii=False)
+            with open(os.path.join(data, ARTICLES[service][0]), "w", encoding="utf-8") as f:
+                json.dump(filtered(got, service, args.start_year, args.end_year), f, ensure_ascii=False)
         name = re.sub(r"[^A-Za-z0-9._-]", "_", args.author.strip()) or "articles"
         return run_mapping(args.mapping, os.path.join(args.outdir or folder, f"{name}.nq"), args.explain)

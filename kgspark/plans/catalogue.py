@@ -157,6 +157,20 @@ def source_json_flatten(spark, sf_dir):
     return _branch(src, f"{EX}conversation/", "id", "role", "role").execute(spark).text()
 
 
+@query(rows("conversations", "'<http://example.org/turn/' || turn || '>'", EX + "role", plain("role"), where="role = 'user' AND turn >= 1"))
+def source_json_filter(spark, sf_dir):
+    """The turns of each conversation's document for which a condition holds."""
+    src = Source(_Documents(sf_dir, "conversations", "document"), "$.turns[?(@.role == 'user' && @.turn >= 1)]", (("turn", "turn"), ("role", "role")))
+    return _branch(src, f"{EX}turn/", "turn", "role", "role").execute(spark).text()
+
+
+@query(rows("conversations", "'<http://example.org/conversation/' || conv_id || '>'", EX + "role", plain("role"), where="role IS NOT NULL"))
+def source_json_descent(spark, sf_dir):
+    """All roles anywhere below a document."""
+    src = Source(_Documents(sf_dir, "conversations", "document"), "$", (("id", "id"), ("role", "$..role")))
+    return _branch(src, f"{EX}conversation/", "id", "role", "role").execute(spark).text()
+
+
 @query(
     "SELECT '<http://example.org/role/' || a.role || '>' AS subject, '<http://example.org/turn>' AS predicate, '\"' || b.turn || '\"' AS object, CAST(NULL AS VARCHAR) AS graph "
     "FROM conversations a JOIN conversations b USING (conv_id) WHERE a.role IS NOT NULL AND b.turn IS NOT NULL"
@@ -561,6 +575,29 @@ def sparql_bgp(spark, sf_dir):
     return select(mapped(spark, sf_dir, text), f'PREFIX ex: <{EX}> SELECT ?o ?name WHERE {{ ?o ex:status "F" ; ex:by ?c . ?c ex:name ?name }}')
 
 
+@query(
+    "SELECT '<http://example.org/nation/' || c_nationkey || '>' AS nation, " + ", ".join(f"'\"' || {e} || '\"^^<{XSD}integer>' AS {n}" for e, n in (("count(*)", "orders"), ("count(DISTINCT o_custkey)", "buyers"), ("sum(o_orderkey + o_custkey)", "total"), ("max(o_custkey)", "largest"))) + " FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey HAVING count(*) > 10"
+)
+def sparql_aggregates(spark, sf_dir):
+    """Aggregates over a path of two steps."""
+    text = triples_map("O", "SELECT o_orderkey, o_custkey, o_orderkey + o_custkey AS score FROM orders", ORDER_MAP, pom("ex:by", template(EX + "customer/{o_custkey}")), pom("ex:key", reference("o_custkey")), pom("ex:score", reference("score")))
+    text += triples_map("C", "customer", CUSTOMER_MAP, pom("ex:in", template(EX + "nation/{c_nationkey}")))
+    names = "?nation (COUNT(*) AS ?orders) (COUNT(DISTINCT ?k) AS ?buyers) (SUM(?s) AS ?total) (MAX(?k) AS ?largest)"
+    return select(mapped(spark, sf_dir, text), f"PREFIX ex: <{EX}> SELECT {names} WHERE {{ ?o ex:by/ex:in ?nation ; ex:key ?k ; ex:score ?s }} GROUP BY ?nation HAVING (COUNT(?o) > 10)")
+
+
+@query("SELECT " + CUSTOMER + " AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def sparql_not_exists(spark, sf_dir):
+    text = triples_map("O", "orders", ORDER_MAP, pom("ex:by", template(EX + "customer/{o_custkey}"))) + triples_map("C", "customer", CUSTOMER_MAP, pom("ex:name", reference("c_name")))
+    return select(mapped(spark, sf_dir, text), f"PREFIX ex: <{EX}> SELECT ?c WHERE {{ ?c ex:name ?name FILTER NOT EXISTS {{ ?o ex:by ?c }} }}")
+
+
+@query("WITH RECURSIVE up(n, m) AS (SELECT n_nationkey, n_nationkey // 2 FROM nation WHERE n_nationkey > 0 UNION SELECT n, m // 2 FROM up WHERE m > 0) SELECT '<http://example.org/nation/' || n || '>' AS n, '<http://example.org/nation/' || m || '>' AS up FROM up")
+def sparql_path_any_length(spark, sf_dir):
+    text = triples_map("N", "SELECT n_nationkey, n_nationkey DIV 2 AS half FROM nation WHERE n_nationkey > 0", f'rr:template "{EX}nation/{{n_nationkey}}"', pom("ex:up", template(EX + "nation/{half}")))
+    return select(mapped(spark, sf_dir, text), f"PREFIX ex: <{EX}> SELECT ?n ?up WHERE {{ ?n ex:up+ ?up }}")
+
+
 @query("SELECT " + NATION + " AS n, " + plain("n_name") + " AS name, CASE WHEN n_nationkey > 20 THEN " + plain("r_name") + " END AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey >= 3 AND n_name <> 'CHINA'")
 def sparql_optional_filter(spark, sf_dir):
     text = triples_map("N", "nation", f'rr:template "{EX}nation/{{n_nationkey}}"', pom("ex:name", reference("n_name")), pom("ex:key", reference("n_nationkey"))) + triples_map(

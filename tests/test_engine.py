@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import re
 import urllib.parse
 
 import pytest
@@ -487,7 +488,7 @@ def test_write(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    return graph_frame(spark, '@prefix e: <http://e/> . e:a e:n "A" ; e:k 1 ; e:f e:b . e:b e:n "B"@en ; e:k 20 . e:c e:k 3 .')
+    return graph_frame(spark, '@prefix e: <http://e/> . e:a e:n "A" ; e:k 1 ; e:f e:b . e:b e:n "B"@en ; e:k 20 . e:c e:k 3 . e:d e:g e:e . e:e e:g e:f . e:f e:g e:d, e:g .')
 
 
 @pytest.mark.parametrize(
@@ -499,7 +500,39 @@ def graph(spark):
         ("SELECT ?n WHERE { VALUES ?x { e:b e:c } ?x e:n ?n }", [('"B"@en',)]),
         ("SELECT ?u WHERE { ?x e:n ?n BIND(UCASE(CONCAT(STR(?n), \"-z\")) AS ?u) FILTER(LANG(?n) = \"en\") }", [('"B-Z"',)]),
         ("SELECT DISTINCT ?p WHERE { ?x ?p ?o } ORDER BY DESC(?p) LIMIT 1", [("<http://e/n>",)]),
-        ("SELECT ?x WHERE { ?x e:f/e:n ?n }", None),
+        ("SELECT ?x WHERE { ?x e:f/e:n ?n }", [("<http://e/a>",)]),
+        ("SELECT ?x WHERE { ?x ^e:f/e:k 1 }", [("<http://e/b>",)]),
+        ("SELECT ?x ?v WHERE { ?x e:n|e:k ?v FILTER(?x = e:a) }", [("<http://e/a>", '"1"^^<INT>'), ("<http://e/a>", '"A"')]),
+        ("SELECT ?v WHERE { e:c !e:n ?v }", [('"3"^^<INT>',)]),
+        ("SELECT ?v WHERE { e:a !(e:k|e:n) ?v }", [("<http://e/b>",)]),
+        ("SELECT ?v WHERE { e:a e:f? ?v }", [("<http://e/a>",), ("<http://e/b>",)]),
+        ("SELECT ?v WHERE { e:d (e:g/e:g)* ?v }", [("<http://e/d>",), ("<http://e/e>",), ("<http://e/f>",), ("<http://e/g>",)]),
+        ("SELECT ?v WHERE { e:d e:g+ ?v }", [("<http://e/d>",), ("<http://e/e>",), ("<http://e/f>",), ("<http://e/g>",)]),
+        ("SELECT ?v WHERE { ?v e:g+ e:g }", [("<http://e/d>",), ("<http://e/e>",), ("<http://e/f>",)]),
+        ("SELECT (COUNT(*) AS ?n) WHERE { ?x e:g+ ?y }", [('"12"^^<INT>',)]),
+        ("SELECT ?x WHERE { ?x e:g+ ?x }", [("<http://e/d>",), ("<http://e/e>",), ("<http://e/f>",)]),
+        ("SELECT (COUNT(DISTINCT ?x) AS ?n) WHERE { ?x e:f* ?x }", [('"12"^^<INT>',)]),
+        ("SELECT ?p (COUNT(?x) AS ?n) WHERE { ?x ?p ?y FILTER(?p IN (e:k, e:n)) } GROUP BY ?p", [("<http://e/k>", '"3"^^<INT>'), ("<http://e/n>", '"2"^^<INT>')]),
+        ("SELECT (SUM(?k) AS ?s) (AVG(?k) AS ?m) (MIN(?k) AS ?a) (MAX(?k) AS ?z) WHERE { ?x e:k ?k }", [('"24"^^<INT>', '"8"^^<DEC>', '"1"^^<INT>', '"20"^^<INT>')]),
+        ("SELECT (SUM(?n) AS ?s) (COUNT(?n) AS ?c) WHERE { ?x e:n ?n }", [(None, '"2"^^<INT>')]),
+        ("SELECT (SUM(?n) AS ?s) (AVG(?n) AS ?a) (COUNT(*) AS ?c) WHERE { ?x e:none ?n }", [('"0"^^<INT>', '"0"^^<INT>', '"0"^^<INT>')]),
+        ("SELECT ?p WHERE { ?x ?p ?y } GROUP BY ?p HAVING (COUNT(*) > 2 && COUNT(*) < 4)", [("<http://e/k>",)]),
+        ("SELECT (GROUP_CONCAT(?n; SEPARATOR=\"; \") AS ?all) WHERE { ?x e:n ?n }", [('"A; B"',)]),
+        ("SELECT ?b (COUNT(*) AS ?c) WHERE { ?x e:k ?k } GROUP BY (?k > 2 AS ?b)", [('"false"^^<BOOL>', '"1"^^<INT>'), ('"true"^^<BOOL>', '"2"^^<INT>')]),
+        ("SELECT ?x ?p WHERE { ?x ?p 1 } GROUP BY ?x", None),
+        ("SELECT ?x (?k * 2 + 1 AS ?y) WHERE { ?x e:k ?k FILTER(?k / 2 = 0.5 || -?k = -3) }", [("<http://e/a>", '"3"^^<INT>'), ("<http://e/c>", '"7"^^<INT>')]),
+        ("SELECT ?k WHERE { ?x e:k ?k } ORDER BY DESC(?k) LIMIT 1", [('"20"^^<INT>',)]),
+        ("SELECT ?x WHERE { ?x e:k ?k } ORDER BY ?k OFFSET 2", [("<http://e/b>",)]),
+        ("SELECT ?x WHERE { ?x e:k ?k MINUS { ?x e:n ?n } }", [("<http://e/c>",)]),
+        ("SELECT ?x WHERE { ?x e:k ?k MINUS { ?y e:n ?n } }", [("<http://e/a>",), ("<http://e/b>",), ("<http://e/c>",)]),
+        ("SELECT ?x WHERE { ?x e:k ?k FILTER EXISTS { ?x e:n ?n } }", [("<http://e/a>",), ("<http://e/b>",)]),
+        ("SELECT ?x WHERE { ?x e:k ?k FILTER NOT EXISTS { ?y e:k ?m FILTER(?m > ?k) } }", [("<http://e/b>",)]),
+        ("SELECT ?x WHERE { ?x e:k ?k FILTER NOT EXISTS { ?y e:none ?m } FILTER(?k NOT IN (1, 3)) }", [("<http://e/b>",)]),
+        ("SELECT ?x ?m WHERE { ?x e:k ?m { SELECT (MAX(?k) AS ?m) WHERE { ?y e:k ?k } } }", [("<http://e/b>", '"20"^^<INT>')]),
+        ("SELECT ?x ?n WHERE { VALUES (?x ?n) { (e:a UNDEF) (e:b \"B\"@en) (e:c \"C\") } ?x e:n ?n }", [("<http://e/a>", '"A"'), ("<http://e/b>", '"B"@en')]),
+        ("SELECT ?x ?n WHERE { ?x e:k ?k OPTIONAL { ?x e:none ?n } OPTIONAL { ?x e:n ?n } }", [("<http://e/a>", '"A"'), ("<http://e/b>", '"B"@en'), ("<http://e/c>", None)]),
+        ("SELECT (IF(?k > 2, STRLEN(\"abc\"), DATATYPE(?k)) AS ?r) WHERE { e:a e:k ?k }", [("<INT>",)]),
+        ("SELECT (SUBSTR(\"abcd\", 2, 2) AS ?r) (STRAFTER(\"a=b\", \"=\") AS ?t) (<http://www.w3.org/2001/XMLSchema#integer>(\"7\") + 1 AS ?u) WHERE { }", [('"bc"', '"b"', '"8"^^<INT>')]),
         ("SELECT ?x ?x WHERE { ?x ?p ?o }", None),
         ("", None),
         ("SELECT ?x ?y WHERE { ?x e:k ?k OPTIONAL { ?y e:k ?m FILTER(?m > ?k && ?m < 10) } }", [("<http://e/a>", "<http://e/c>"), ("<http://e/b>", None), ("<http://e/c>", None)]),
@@ -514,7 +547,22 @@ def test_select(graph, query, rows):
         with pytest.raises(SparqlError):
             select(graph, text)
     else:
-        assert sorted((tuple(r) for r in select(graph, text).collect()), key=str) == rows
+        short = {"INT": "integer", "DEC": "decimal", "BOOL": "boolean"}
+        rows = [tuple(v and re.sub("<(INT|DEC|BOOL)>", lambda m: f"<http://www.w3.org/2001/XMLSchema#{short[m[1]]}>", v) for v in r) for r in rows]
+        assert sorted((tuple(r) for r in select(graph, text).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_select_in_graphs(spark):
+    quads = spark.createDataFrame([("<a>", "<p>", "<b>", "<g>"), ("<b>", "<p>", "<c>", "<h>"), ("<a>", "<p>", "<b>", "<h>"), ("<x>", "<p>", "<y>", None), ("<a>", "<p>", "<b>", "<g>")], "subject string, predicate string, object string, graph string")
+
+    def got(text):
+        return sorted(tuple(r) for r in select(quads, text).collect())
+
+    assert got("SELECT ?g ?t WHERE { GRAPH ?g { <a> <p>+ ?t } }") == [("<g>", "<b>"), ("<h>", "<b>"), ("<h>", "<c>")]
+    assert got("SELECT ?t WHERE { GRAPH <g> { <a> <p>* ?t } }") == [("<a>",), ("<b>",)]
+    assert got("SELECT ?t WHERE { <a> <p>+ ?t }") == [("<b>",), ("<c>",)]
+    assert got("SELECT DISTINCT ?s WHERE { ?s <p> ?t }") == [("<a>",), ("<b>",), ("<x>",)]
+    assert [r[0][1] for r in got("SELECT (COUNT(*) AS ?n) WHERE { ?s <p> ?t }")] == ["3"]  # triples, in whatever graphs
 
 
 def test_mappings_are_found_in_order(tmp_path):
@@ -575,3 +623,29 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     data = {"result": {"hits": {"hit": [{"info": {"year": "2001"}}, {"info": {"year": "x"}}, {"info": {"year": "2020"}}]}}}
     assert len(fetch.filtered(data, "dblp", 2010, None)["result"]["hits"]["hit"]) == 2
     assert not os.path.exists(str(tmp_path / "data"))
+
+
+def test_articles_are_asked_for_in_several_ways(tmp_path, monkeypatch):
+    from kgspark.commands import fetch
+
+    asked = []
+
+    def answer(url, params):
+        asked.append(params)
+        if "openalex" in url:
+            return {"results": [{"publication_year": 2020}]} if params.get("search") == "Ann" else {"results": []} if "search" in params else 1 / 0
+        if "archives" in url:
+            return {"response": {"numFound": 3, "docs": [{"producedDateY_i": 2020}] if params["rows"] == 500 else []}}
+        raise OSError("down")
+
+    monkeypatch.setattr(fetch, "get_json", answer)
+    assert fetch.records(fetch.fetched("openalex", "Ann", 2019, 2021), "openalex") == [{"publication_year": 2020}]
+    assert len(asked) == 3 and asked[0]["filter"] == "from_publication_date:2019-01-01,to_publication_date:2021-12-31"
+    assert len(fetch.records(fetch.fetched("hal", "Ann", None, None), "hal")) == 1
+    assert fetch.fetched("dblp", "Ann", None, None) is None
+    monkeypatch.delenv("SERPAPI_API_KEY", raising=False)
+    monkeypatch.delenv("SERPAPI_KEY", raising=False)
+    asked.clear()
+    assert fetch.fetched("serpapi", "Ann", None, None) is None and not asked
+    monkeypatch.setenv("SERPAPI_KEY", "k")
+    assert fetch.fetched("serpapi", "Ann", None, None) is None and asked[0]["api_key"] == "k"
