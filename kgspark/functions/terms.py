@@ -34,6 +34,7 @@ class Val:
     shape: str | None = None
     clean: bool = False  # nothing in it to escape: the text of a number, a date or a truth value
     native: Column | None = None  # the whole number, never NULL, that lex is the text of; joins compare it instead
+    there: Column | None = None  # whether lex has a value, where that is known without making lex
 
 
 def column(x: Column | str | None) -> Column:
@@ -303,9 +304,9 @@ def natural(c: Column, kind: str) -> Val:
     if base in ("decimal", "boolean", "date"):
         return Val(text, "literal", XSD + base, clean=True)
     if base.startswith("timestamp"):
-        whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-        part = F.date_format(c, "SSSSSS")
-        return Val(F.concat(whole, F.when(part == "000000", "").otherwise(F.concat(F.lit("."), part))), "literal", XSD + "dateTime", clean=True)
+        # Most moments are whole seconds, which a cast prints without a formatter.
+        text = F.when(F.extract(F.lit("SECONDS"), c) % 1 == 0, F.replace(text, F.lit(" "), F.lit("T"))).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        return Val(text, "literal", XSD + "dateTime", clean=True)
     if base == "binary":
         return Val(F.hex(c), "literal", STRING)
     stamp = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?$"

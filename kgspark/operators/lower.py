@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -245,20 +246,35 @@ def _fused_documents(chains: list[tuple[Source, list[Operator]]], names: list[st
     return df.where("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL") if text else df
 
 
+def _chosen(row: Column, there: Column) -> Column:
+    return F.get(F.filter(F.array(row), lambda _: there), F.lit(0))
+
+
 def _fused_rows(chains: list[tuple[Source, list[Operator]]], names: list[str], spark: SparkSession, strict: bool, carry: list[str] | None = None, text: bool = False) -> DataFrame:
     """One scan for several branches of a source. A branch has a row where all attributes of its own source have a value. text: of quads, as text."""
     source = chains[0][0]
     mappings = {q: f"q{i}" for i, q in enumerate(dict.fromkeys(q for s, _ in chains for _, q in s.mappings))}
     df, values = source.reader.read(spark, source.iterator, {a: q for q, a in mappings.items()}, strict, keep_missing=True)
+    branches = [({a: values[mappings[q]] for a, q in own.mappings}, steps, dict(own.mappings)) for own, steps in chains]
+    made = [_applied(steps, at, names, text) for at, steps, _ in branches]
+    # What all branches make of the same queries, as the subject mostly is, is made once for a row, before it is multiplied.
+    common = [n for n in names if len({_same(n, i, queries, steps) for i, (_, steps, queries) in enumerate(branches)}) == 1] if len(chains) > 1 else []
+    df = df.select("*", *(made[0][n].alias(f"__common_{n}") for n in common))
+    needed = [n for n in ("subject", "predicate", "object") if text]
+    whole = reduce(and_, (F.col(f"__common_{n}").isNotNull() for n in common if n in needed), F.lit(True))
     rows = []
-    for own, steps in chains:
-        at = {a: values[mappings[q]] for a, q in own.mappings}
-        there = F.lit(True)
-        for a, _ in own.mappings:
-            there = there & source.reader.present(at[a])
-        made = _applied(steps, at, names, text)
-        rows.append(F.when(there, F.struct(*(c.alias(n) for n, c in made.items()))))
-    out = df.select(F.explode(F.array(*rows)).alias("row"), *(carry or [])).where("row IS NOT NULL")
-    if text:
-        out = out.where("row.subject IS NOT NULL AND row.predicate IS NOT NULL AND row.object IS NOT NULL")
-    return out.select(*(F.col("row")[n].alias(n) for n in names), *(carry or []))
+    for (at, _, queries), columns in zip(branches, made, strict=True):
+        there = reduce(and_, (source.reader.present(at[a]) for a in queries), whole)
+        row = F.struct(*([c.alias(n) for n, c in columns.items() if n not in common] or [F.lit(0).alias("nothing")]))
+        rows.append(F.when(there, row))
+        if len(rows) == 1 and len(chains) > 1:
+            # NULL, too, but with a higher-order function, which keeps the projection out of whole-stage code: there all rows
+            # would be one method, beyond the 8000 bytes that the JVM compiles; here they are split.
+            rows[0] = rows[0].otherwise(_chosen(row, there))
+    kept = [F.col(f"__common_{n}") for n in common]
+    # The array is a column of its own below the explode, so that generated code comes in smaller methods.
+    df = df.select(F.array(*rows).alias("__rows"), *kept, *(carry or []))
+    out = df.select(F.explode("__rows").alias("row"), *kept, *(carry or [])).where("row IS NOT NULL")
+    for n in needed:
+        out = out if n in common else out.where(F.col("row")[n].isNotNull())
+    return out.select(*((F.col(f"__common_{n}") if n in common else F.col("row")[n]).alias(n) for n in names), *(carry or []))

@@ -23,7 +23,7 @@ class Reader:
 
     def present(self, v: Val) -> Column:
         """Whether an attribute has a value; without one the row isn't there."""
-        return v.lex.isNotNull()
+        return v.lex.isNotNull() if v.there is None else v.there
 
 
 def plain_name(query: str) -> str:

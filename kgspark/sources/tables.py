@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_
 
@@ -42,7 +42,7 @@ class _Columns(Reader):
             if path:
                 kind = df.select(c.alias("x")).dtypes[0][1]
             columns.append(c)
-            values[a] = natural(c, kind) if self.typed else Val(c.cast("string"))
+            values[a] = replace(natural(c, kind) if self.typed else Val(c.cast("string")), there=c.isNotNull())
         if strict and columns:
             check_strict(df.select(*(F.max(c.isNotNull().cast("int")).alias(f"{a}") for a, c in zip([a for a in mappings if values[a].lex is not None], columns, strict=False))))
         if not keep_missing and mappings:
