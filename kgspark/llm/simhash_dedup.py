@@ -17,7 +17,8 @@ Tables that grow with the documents are joined by sort and merge (hinted), never
 files would pass for smaller than they are. Components come by alternating stars. Copies are joined by fingerprint, as one node, before all this.
 
 Null text and text without words: fingerprint 0, linked like any other. Rows of equal id each get a row. A
-component of null ids only has a null id.
+component of null ids only has a null id. Ties: a bit set in just half of the shingles is 0; components have one smallest id. Empty table: no rows.
+Very long texts are taken whole: memory follows the longest text. Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations

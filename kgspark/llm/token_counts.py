@@ -7,13 +7,17 @@ doubled, in the end up to the whole of the text read so far.
 
 The proof of a place: pre-tokenisation of byte-level BPE cuts before a space that follows a character which
 is no white space and precedes one that is none, for no alternative of its pattern runs over such a space;
-merges do not pass that cut, and special strings of the vocabulary hold no space (this is checked).
+merges do not pass that cut, and special strings of the vocabulary hold no space. The vocabulary's file is checked
+for all of that; with one of another kind, long texts are encoded whole.
 
-Null text: 0 bytes, 0 tokens. Rows come back as they are, repeated ones too; null ids stay null.
+Null text: 0 bytes, 0 tokens. Rows come back as they are, repeated ones and null ids too; nothing depends on their order, so there
+are no ties. Empty table: no rows. Very long texts: memory follows a chunk's tokens, and the longest stretch without a place to cut.
+Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -37,9 +41,15 @@ def load(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    if any(c.isspace() for t in tokenizer.get_added_tokens_decoder().values() for c in t.content):
-        raise ValueError("an added token holds white space: places between chunks can't be proven")
-    return tokenizer
+    return tokenizer, provable(json.loads(tokenizer.to_str()))
+
+
+def provable(parts: dict) -> bool:
+    """Whether a tokenizer is of the kind that the proof is about."""
+    before, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    cut = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not parts.get("normalizer")
+    return bool(cut and plain) and not any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in parts["added_tokens"])
 
 
 def stable(text: str, at: int) -> bool:
@@ -74,14 +84,14 @@ def token_counts(documents: DataFrame, vocabulary: str, id_col: str = "doc_id",
     """id_col, n_bytes, n_tokens, over_limit of each row. vocabulary: a tokenizers .json of byte-level BPE, there on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(vocabulary)
+        tokenizer, splices = load(vocabulary)
         for b in pieces(batches, "text", 1 << 20):
             texts = [x or "" for x in b.column("text").to_pylist()]
             counts = np.zeros(len(texts), np.int64)
-            short = [i for i, x in enumerate(texts) if len(x) <= chunk]
+            short = [i for i, x in enumerate(texts) if len(x) <= chunk or not splices]
             counts[short] = [len(e) for e in tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)]
             for i, x in enumerate(texts):
-                if len(x) > chunk:
+                if len(x) > chunk and splices:
                     counts[i] = splice(x, lambda t: tokenizer.encode(t, add_special_tokens=False).offsets, chunk, overlap)
             sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("id"), sizes, pa.array(counts), pa.array(counts > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])

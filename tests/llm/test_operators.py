@@ -776,6 +776,39 @@ def test_token_counts(docs, chunk, overlap):
     assert token_counts.token_counts(docs([]), path).count() == 0
 
 
+def test_token_counts_of_other_kinds(docs):
+    """A vocabulary that the proof doesn't cover: texts are not cut."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
+    assert token_counts.load(public_tokenizers.path("byte_bpe_50k.json"))[1] is True
+    texts = [None, "", "Some words, don't cut  them. " * 60, "é日本 " * 300, "x" * 3000]
+    out = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs(list(enumerate(texts))), path, chunk=120, overlap=8).collect()}
+    assert out == {i: len(whole.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "use_regex": False}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"added_tokens": [{"content": "a b", "lstrip": False, "rstrip": False}]}, {"model": {"type": "WordPiece"}}):
+        kind = {"pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}, "model": {"type": "BPE"}, "normalizer": None, "added_tokens": []}
+        assert token_counts.provable(kind) and not token_counts.provable(kind | change)
+
+
+def test_repeated_rows_each_get_a_row(spark, docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    twice = docs([(1, "a b c. d e"), (1, "a b c. d e"), (1, "other"), (None, None), (None, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs([(1, "vile. good"), (2, "good. fine")]), labels, learn=F.lit(True))
+    for out in (token_counts.token_counts(twice, path), toxicity.toxicity(twice, model), decontaminate.contamination(twice, spark.createDataFrame([(1, "a b")], "item_id long, text string")), secret_scan.scan(twice)):
+        found = Counter(r.doc_id for r in out.collect())
+        assert found == {1: 3, None: 2}
+    clash = twice.withColumn("n_tokens", F.lit("own")).withColumn("id", F.lit("own"))
+    assert rows(token_counts.token_counts(clash, path), "doc_id", "n_tokens") == rows(token_counts.token_counts(twice, path), "doc_id", "n_tokens")
+    assert toxicity.toxicity(docs([]), model).count() == 0
+
+
 def test_more_columns_may_clash(spark, docs):
     """Operators take the columns they need, whatever others are called."""
     df = docs([(1, "a b c"), (2, "d e f")])
