@@ -3,8 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents.
 
-Ids are unique after the second stage, which keeps one row of each id. Rows without an id are known by their
-text's hash where ids are needed; their id stays null.
+Rows without an id are known by their text's hash where ids are needed; their id stays null. Of equal rows the second stage keeps one; rows of one id
+and different texts stay. Ties go to the smallest id and then to the text's hash. Null and empty texts are clean documents, and near copies of one another.
+An empty table, or a stage that leaves nothing, gives no rows. Very long texts are taken whole by each stage. Columns of documents beyond the id and the text are
+carried along under their names; the last stage's own columns take the place of any of the same name.
 """
 
 from __future__ import annotations
