@@ -278,6 +278,21 @@ def _text(v: Val) -> Column:
     return F.concat(F.lit('"'), v.lex if plain and v.clean else escaped(v.lex), end)
 
 
+def to_rdflib(term):
+    """A driver-side term as one of the rdflib package, which is imported here only. Epsilon is None; what is no term stays."""
+    if term is None:
+        return None
+    import rdflib
+
+    if isinstance(term, IRI):
+        return rdflib.URIRef(term.value)
+    if isinstance(term, BlankNode):
+        return rdflib.BNode(term.value)
+    if isinstance(term, Literal):
+        return rdflib.Literal(term.value, lang=term.lang) if term.lang else rdflib.Literal(term.value, datatype=rdflib.URIRef(term.datatype))
+    return term
+
+
 # Natural typing of table columns.
 
 

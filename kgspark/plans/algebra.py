@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import InitVar, dataclass, field
 from typing import Any
 
 from kgspark.functions.registry import FunctionRegistry
@@ -205,8 +206,13 @@ class EquiJoin(Operator):
     left_attributes: tuple[str, ...] = ()
     right_attributes: tuple[str, ...] = ()
     names: tuple[str, ...] = field(default=(), compare=False)
+    A: InitVar[Sequence[str] | None] = None  # older names of the two lists
+    B: InitVar[Sequence[str] | None] = None
 
-    def __post_init__(self):
+    def __post_init__(self, A, B):
+        for attr, older in (("left_attributes", A), ("right_attributes", B)):
+            if older is not None and not getattr(self, attr):
+                object.__setattr__(self, attr, tuple(older))
         if len(self.left_attributes) != len(self.right_attributes):
             raise ValueError("a join needs as many left as right attributes")
         pairs = ((self.left, "left_attributes"), (self.right, "right_attributes"))

@@ -149,12 +149,31 @@ def test_project_extend_union(spark):
     assert Union((src, src), True).execute(spark).df.count() == 2
 
 
+def test_terms_for_rdflib(monkeypatch):
+    import sys
+    import types
+
+    from kgspark.functions.terms import to_rdflib
+
+    made = types.SimpleNamespace(URIRef=lambda v: ("uri", v), BNode=lambda v: ("bnode", v), Literal=lambda v, lang=None, datatype=None: ("literal", v, lang, datatype))
+    monkeypatch.setitem(sys.modules, "rdflib", made)
+    assert to_rdflib(None) is None and to_rdflib(7) == 7
+    assert to_rdflib(IRI("http://e/a")) == ("uri", "http://e/a") and to_rdflib(BlankNode("b")) == ("bnode", "b")
+    assert to_rdflib(Literal("x", lang="en")) == ("literal", "x", "en", None)
+    assert to_rdflib(Literal("1", "http://e/d")) == ("literal", "1", None, ("uri", "http://e/d"))
+
+
 def test_join(spark):
     left = Source(frame(spark, [("1", "a"), ("2", "b")], "id string, name string"), "$", (("id", "id"), ("name", "name")))
     right = Source(S.Frame(spark.createDataFrame([(1, "x"), (3, "y")], "ref int, dept string")), "$", (("ref", "ref"), ("dept", "dept")))
     assert [(r.name.value, r.dept.value) for r in EquiJoin(left, right, ("id",), ("ref",)).execute(spark).terms().collect()] == [("a", "x")]
     assert EquiJoin(left, right).execute(spark).df.count() == 4
     assert EquiJoin(left, right, ("ID",), ("parent_ref",)).left_attributes == ("id",)
+    assert EquiJoin(left, right, A=["id"], B=["ref"]) == EquiJoin(left, right, ("id",), ("ref",))
+    with pytest.raises(TypeError):
+        EquiJoin(left, right, C=["id"])
+    with pytest.raises(ValueError):
+        EquiJoin(left, right, A=["id"])
     with pytest.raises(ValueError):
         EquiJoin(left, right, ("id",), ())
     with pytest.raises(KeyError):
