@@ -293,6 +293,19 @@ def test_topk_of_large_numbers(spark):
     assert exact_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_topk_work_follows_neither_copies_nor_shards_times_blocks(spark, monkeypatch):
+    """Rows that tasks are sent: each shard once, and each block of queries once a group of shards."""
+    sent, winners = [], exact_topk._winners
+    monkeypatch.setattr(exact_topk, "_winners", lambda met, k: sent.append(met.count()) or winners(met, k))
+    rng = np.random.default_rng(10)
+    vectors = [(i, rng.normal(size=6).tolist()) for i in range(2000)]
+    copies = [(i, vectors[i % 40][1]) for i in range(2000)] + [(50, [9.0] * 6), (50, [9.5] * 6), (7, vectors[7][1]), (7, vectors[7][1])]
+    for made in (vectors, copies):
+        got = exact_topk.top_k(spark.createDataFrame(made, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, shard=16, block=2)
+        assert rows(got, "query_id", "rank", "vec_id", "score") == brute_topk(made, 5)
+    assert sent[0] <= 125 + 20 * 16 and sent[1] <= 3 + 2 * 3
+
+
 def test_tree_prunes():
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(40, 8)) * 100
