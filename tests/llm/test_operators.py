@@ -525,6 +525,61 @@ def test_lm_learns(docs):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) * 1.1
 
 
+def test_lm_mixes_along_the_text(docs):
+    """A text's score rests on the order of its words, though no row that teaches has any of its sequences."""
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(100)]
+    phrase = rng.sample(vocabulary, 12) * 12
+    mixed = rng.sample(phrase, len(phrase))
+    texts += [(1000, " ".join(phrase)), (1001, " ".join(mixed))]
+    out = {r.doc_id: r for r in lm_score.lm_scores(docs(texts), F.col("doc_id") >= 1000).collect()}
+    assert out[1000].base_score == pytest.approx(out[1001].base_score) and out[1000].score > 0.4 * out[1001].score
+
+
+def test_lm_repeats():
+    """Repeats, and their online mixing, against a plain loop over each text."""
+    import pyarrow as pa
+
+    from kgspark.llm._words import words
+
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice("abcde") for _ in range(n)) for n in (0, 1, 2, 90, 700)] + [None, "a a", "a b a b a b"]
+    w = words(pa.array(texts), re_not_space(), True)
+    place, after, hit, match = lm_score.repeats(w.hashes(), w, lm_score.last_seen(w.hashes(), w.doc)[2])
+    cell, doc = lm_score.repeat_cells(w.doc[place], hit, match), w.doc[place]
+    taught = np.linspace(0.01, 0.9, lm_score.MATCH * lm_score.FELL)
+    got = list(zip(place.tolist(), after.tolist(), hit.tolist(), match.tolist(), cell.tolist(), np.round(lm_score.mixed(doc, match, taught[cell], hit), 9).tolist(), strict=True))
+    expected = []
+    for d, t in enumerate(texts):
+        tokens, bits, turn, size = (t or "").split(), [], 0, 0
+        weights, bends, own = {}, {}, {}
+        waiting = []
+        for i in range(len(tokens)):
+            then = next((j for j in range(i - 1, -1, -1) if tokens[j] == tokens[i]), None)
+            if then is None:
+                continue
+            agree = next(k for k in range(1, 5) if k == 4 or then - k < 0 or tokens[then - k] != tokens[i - k]) - 1
+            bit = int(i + 1 < len(tokens) and tokens[then + 1] == tokens[i + 1])
+            fell = sum(b << k for k, b in enumerate(bits[:-4:-1]))
+            p0, (ones, n) = taught[agree * 8 + fell], own.get(agree, (0, 0))
+            x = [math.log(q / (1 - q)) for q in (p0, (ones + lm_score.OWN * p0) / (n + lm_score.OWN))] + [0.3]
+            z = sum(a * b for a, b in zip(weights.setdefault(agree, list(lm_score.START)), x, strict=True))
+            p = 1 / (1 + math.exp(-max(-13, min(13, z))))
+            expected.append((int(w.first[d]) + i, int(w.first[d]) + i + 1 + d, bit, agree, agree * 8 + fell, round(math.log10(p if bit else 1 - p), 9)))
+            own[agree] = ones + bit, n + 1
+            bits.append(bit)
+            waiting.append((agree, x, p, bit))
+            if len(waiting) == lm_score.TURN * (turn + 1):
+                for g in set(a for a, *_ in waiting):
+                    for k in range(3):
+                        bends[g, k] = bends.get((g, k), 0) + sum(p * (1 - p) * x[k] ** 2 for a, x, p, _ in waiting if a == g)
+                        weights[g][k] += sum((b - p) * x[k] for a, x, p, b in waiting if a == g) / (bends[g, k] + lm_score.PULL)
+                waiting, turn = [], turn + 1
+    assert len(got) > 700 and [g[:5] for g in got] == [e[:5] for e in expected]
+    assert [g[5] for g in got] == pytest.approx([e[5] for e in expected], abs=1e-6)
+
+
 def test_lm_without_teachers(docs):
     out = lm_score.lm_scores(docs([(1, "a b"), (2, None)]), F.lit(True)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in out) == [(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)]
