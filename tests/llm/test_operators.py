@@ -447,6 +447,58 @@ def test_lm_beginnings(seed):
                     assert [letters.ones[i][start + at, bit], letters.zeros[i][start + at, bit]] == expected
 
 
+def test_lm_meets_shared_beginnings_once(monkeypatch):
+    """Tokens of a kind that begin alike are coded once, with the counts, weights and scores of a plain loop over all tokens."""
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    made = {(bytes(rng.choice(b"ab\x01\xc3") for _ in range(rng.randrange(0, 9))), rng.randrange(2)): rng.randrange(1, 4) for _ in range(600)}
+    made[b"ab" * 30, 0], made[b"ab" * 29 + b"aa", 0] = 1, 2
+    texts, kinds, counts = pa.array([w for w, _ in made]), np.array([k for _, k in made]), np.array(list(made.values()), float)
+    coded = [bytes(t + b" ") if t else b"\n" for t, _ in made]
+    beginnings = Counter()
+    for i, (t, k, c) in enumerate(zip(coded, kinds, counts, strict=True)):
+        for at in range(1, len(t) + 1):
+            beginnings[t[:at], k, i if at > lm_score.DEPTH else None] += c
+    letters = lm_score.Letters(texts, kinds, counts, np.full(len(kinds), 3))
+    m = lm_score.Model(np.random.default_rng(1).integers(0, 1 << 16, lm_score.SLOTS).astype(np.uint16))
+    m = m.tuned(m.weights, np.random.default_rng(2).random((lm_score.GATES, lm_score.STEPS)))
+
+    met, predict = [], lm_score.Model.predict
+    monkeypatch.setattr(lm_score.Model, "predict", lambda self, slots, *more: met.append(slots.shape[1]) or predict(self, slots, *more))
+    scores = m.scores(letters)
+    assert sum(met) == 8 * len(beginnings) < 5 * len(letters.data)
+    expected, tables, plain = np.zeros(len(kinds)), np.zeros((2, lm_score.SLOTS)), np.zeros((2, lm_score.SLOTS))
+    for begin, n, token, slots, ones, zeros, bit in letters.events(500):
+        _, gate, p, z = m.predict(slots, ones, zeros, bit)
+        p = m.refine(gate, p, z)
+        expected[begin : begin + n] = np.bincount(token, np.log10(np.where(bit > 0, p, 1 - p)), n)
+        np.add.at(plain, (bit, slots), counts[begin : begin + n][token])
+    assert scores == pytest.approx(expected, abs=1e-9)
+
+    found = Counter()
+    for at, slots, _, _, bit in letters.distinct(70):
+        np.add.at(tables, (bit, slots), np.repeat(letters.mass[at], 8))
+        for place in at:
+            i, nth = letters.token[place], place - letters.start[letters.token[place]] + 1
+            found[coded[i][:nth], kinds[i], i if nth > lm_score.DEPTH else None] += letters.mass[place]
+    assert found == beginnings and (tables == plain).all()
+
+    weights, bends, sums = np.full((lm_score.GATES, lm_score.N_IN), 0.3), np.zeros((lm_score.GATES, lm_score.N_IN)), np.zeros(2 * lm_score.GATES * lm_score.STEPS)
+    for turn, (begin, n, token, slots, ones, zeros, bit) in enumerate(letters.events(200)):
+        x, gate = m.inputs(slots, ones, zeros, bit, True)
+        x, gate, c = np.vstack([x, np.full(x.shape[1], 0.3)]), gate.astype(int), counts[begin : begin + n][token]
+        z = np.clip((weights[gate] * x.T).sum(1), -13, 13)
+        p = 1 / (1 + np.exp(-z))
+        np.add.at(sums, (gate * lm_score.STEPS + np.rint((z + 13) * ((lm_score.STEPS - 1) / 26)).astype(int)) * 2 + bit, c)
+        slope, bend = (np.stack([np.bincount(gate, of * one, lm_score.GATES) for one in y], 1) for of, y in (((bit - p) * c, x), (c * p * (1 - p), x * x)))
+        bends = lm_score.FADE * bends + (1 - lm_score.FADE) * bend if turn % lm_score.BEND == 0 else bends
+        weights += lm_score.RATE * slope / (bends + 1)
+    got = lm_score.Model(m.counts)
+    mass = got.learn(letters, counts, 200)
+    assert turn > 10 and got.weights == pytest.approx(weights, abs=1e-4) and mass.sum() == sums.sum() and abs(mass.ravel() - sums).sum() < 0.01 * sums.sum()
+
+
 def test_lm_counts_keep_their_ratio():
     one, zero = lm_score.coded(np.array([1e12, 4e9]), np.array([1e10, 0.0]))
     ratio = lm_score.DECODED[one] / np.maximum(lm_score.DECODED[zero], 1)
